@@ -54,3 +54,18 @@ def salted_aggregate(
     per_value = s.groupBy(*keys, "__salt", distinct).agg(*[c.alias(n) for n, c in partial.items()])
     stage = per_value.groupBy(*keys, "__salt").agg(*[c.alias(n) for n, c in merge.items()], F.count(distinct).alias("n_distinct"))
     return stage.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()], F.sum("n_distinct").alias("n_distinct"))
+
+
+def hot_join(rows: DataFrame, side: DataFrame, on: Sequence[str], weight: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """``rows`` joined with ``side`` (one row per key, no nulls) by ``how`` (inner or left_semi) without a hot task.
+
+    weight: a column of ``side`` that orders its keys by how many rows they hold, such as their count. The ``heavy`` first ones
+    are joined by broadcast, a fixed number of rows; any other key holds at most 1/heavy of the rows if the weights are counts, and
+    goes by a shuffle. The weight is not part of the result.
+    """
+    top = side.orderBy(F.desc(weight), *on).limit(heavy).drop(weight)
+    rest = side.drop(weight).join(F.broadcast(top.select(*on)), list(on), "left_anti")
+    marked = rows.join(F.broadcast(top.select(*on, F.lit(True).alias("__hot"))), list(on), "left")
+    hot = marked.where("__hot").drop("__hot").join(F.broadcast(top), list(on), how)
+    cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(rest, list(on), how)
+    return hot.unionByName(cold)
