@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import source_parse
+from . import file_origin, source_parse
 
-MODULES = [source_parse]
+MODULES = [file_origin, source_parse]
 
 
 def queries() -> dict:
