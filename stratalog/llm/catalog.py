@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_origin, source_parse
+from . import file_origin, source_parse, token_ids
 
-MODULES = [file_origin, source_parse]
+MODULES = [file_origin, source_parse, token_ids]
 
 
 def queries() -> dict:

@@ -50,7 +50,7 @@ _GENERATED = re.compile(
     re.I | re.M,
 )
 _VENDORED = re.compile(_START + r"(?:(?:this (?:file|code) (?:was|is|has been) )?(?:copied|imported|vendored|taken|ported|adapted)\b(?: [a-z]+)? from\b|upstream:\s*\S+)", re.I | re.M)
-_LITERAL = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)\b,?\s?|[\"'`][A-Za-z0-9+/=,;:._-]{120,}[\"'`]|(?:\\x[0-9a-fA-F]{2}){8,}")
+_LITERAL = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)\b,?\s?|[\"'`](?=[^\"'`\n]{0,40}\d)[A-Za-z0-9+/=,;:._-]{40,}[\"'`],?|(?:\\x[0-9a-fA-F]{2}){8,}")
 _LOCK = re.compile(r'"lockfileVersion"\s*:|^# (?:yarn lockfile|This file is automatically @generated by Cargo)|"integrity"\s*:\s*"sha\d+-[^"]*"(?:.*?"integrity"\s*:\s*"sha\d+-){2}', re.S | re.M)
 _COMMENT = re.compile(r"/\*.*?\*/|^[ \t]*(?://|#)[^\n]*", re.S | re.M)
 
@@ -81,7 +81,7 @@ def content_reason(text: str) -> str | None:
     solid = "".join(text.split())
     # literals are looked for only where there are enough digits or quotes for them
     digits = sum(map(solid.count, "0123456789"))
-    if digits >= 0.2 * len(solid) or max(map(len, text.splitlines())) >= 120:
+    if digits >= 0.1 * len(solid) or max(map(len, text.splitlines())) >= 120:
         if sum(map(len, _LITERAL.findall(text))) >= LITERAL_SHARE * size:
             return "data"
     return None
