@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_origin, leaks, source_parse, token_ids
+from . import file_origin, langid, leaks, source_parse, token_ids
 
-MODULES = [file_origin, source_parse, token_ids, leaks]
+MODULES = [file_origin, source_parse, token_ids, leaks, langid]
 
 
 def queries() -> dict:
