@@ -17,9 +17,10 @@ shuffle, so a key that holds a third of all changes costs one row per task, and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import with_previous
+
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
 
@@ -48,22 +49,10 @@ def watermark(places: DataFrame, place: str = "place", start: int = 1, closed: D
     return ends.agg(F.min("__p").alias("watermark"))
 
 
-def gaps(places: DataFrame, place: str = "place", buckets: int = 64) -> DataFrame:
-    """The missing ranges between the known places: ``gap_from``, ``gap_to``, inclusive. Null places do not count.
-
-    The order is cut into ranges of places; within a range a window finds the gaps, between ranges only the first and last
-    place of each are compared.
-    """
-    p = places.select(F.col(place).cast("long").alias("__p")).dropna().distinct()
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / buckets)).cast("long")
-    span = p.agg(F.min("__p").alias("lo"), F.max("__p").alias("hi"))
-    lo, step = span.select("lo").scalar(), span.select(width).scalar()
-    q = p.withColumn("__b", F.floor((F.col("__p") - lo) / step))
-    inner = q.withColumn("__n", F.lead("__p").over(W.partitionBy("__b").orderBy("__p")))
-    edges = q.groupBy("__b").agg(F.min("__p").alias("a"), F.max("__p").alias("z"))
-    # at most ``buckets`` rows
-    across = edges.withColumn("__n", F.lead("a").over(W.orderBy("__b"))).select(F.col("z").alias("__p"), "__n")
-    return inner.select("__p", "__n").unionByName(across).where(F.col("__n") > F.col("__p") + 1).select((F.col("__p") + 1).alias("gap_from"), (F.col("__n") - 1).alias("gap_to"))
+def gaps(places: DataFrame, place: str = "place") -> DataFrame:
+    """The missing ranges between the known places: ``gap_from``, ``gap_to``, inclusive. Null places do not count."""
+    p = with_previous(places.select(F.col(place).cast("long").alias("__p")).dropna().distinct(), ["__p"], "__p", "__before")
+    return p.where(F.col("__p") > F.col("__before") + 1).select((F.col("__before") + 1).alias("gap_from"), (F.col("__p") - 1).alias("gap_to"))
 
 
 def transactions(changes: DataFrame, place: str = "place", tx: str = "tx") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_data
+from . import graph_data, graph_queries, log_queries, overlay_queries
 
-MODULES = [graph_data]
+MODULES = [graph_data, log_queries, graph_queries, overlay_queries]
 
 
 def queries() -> dict:
