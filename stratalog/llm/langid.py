@@ -402,13 +402,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     """Each document's language (that of most words, null if none is believed) and confidence; documents without text have null and 0."""
-    runs = F.filter("runs", lambda r: r["lang"].isNotNull())
-    per = F.array(*[F.struct(F.aggregate(runs, F.lit(0), lambda a, r, k=k: a + F.when(r["lang"] == k, r["n_words"]).otherwise(0)).alias("n"), F.lit(k).alias("lang")) for k in LANGS])
-    best = F.array_max(per)
+    words_in = lambda k: F.aggregate(F.filter("runs", lambda r: r["lang"] == k), F.lit(0), lambda a, r: a + r["n_words"])
+    best = F.array_max(F.array(*[F.struct(words_in(k).alias("n"), F.lit(k).alias("lang")) for k in LANGS]))
     all_words = F.aggregate("runs", F.lit(0), lambda a, r: a + r["n_words"])
     sure = F.aggregate(F.filter("runs", lambda r: r["lang"] == F.col("best.lang")), F.lit(0.0), lambda a, r: a + r["n_words"] * r["confidence"])
-    d1 = _identified(spark, d).select("doc_id", "runs", F.when(best["n"] > 0, best).alias("best"), all_words.alias("n"))
-    return d1.select("doc_id", F.col("best.lang").alias("lang"), F.when(F.col("best").isNotNull(), F.round(sure / F.col("n"), 4)).otherwise(0.0).alias("confidence"))
+    found = _identified(spark, d).select("doc_id", "runs", best.alias("best"), all_words.alias("n"))
+    known = F.col("best.n") > 0
+    return found.select("doc_id", F.when(known, F.col("best.lang")).alias("lang"), F.when(known, F.round(sure / F.col("n"), 4)).otherwise(0.0).alias("confidence"))
 
 
 def p8_passages(spark: SparkSession, d: str) -> DataFrame:
