@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,10 +98,10 @@ def signed(h: int) -> tuple[int, int]:
     return (a - (1 << 64) if a >> 63 else a), (b - (1 << 64) if b >> 63 else b)
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for file_id, path, language_id, text in zip(b["file_id"], b["path"], b["language_id"], b["content"]):
+        for file_id, path, language_id, text in zip(*(c.to_pylist() for c in b.columns)):
             if path is None:
                 continue
             repo = path.partition("/")[0]
@@ -114,27 +114,32 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if language and check_source(language, text).found:
                     code = 0  # broken: the same error page in two places is no copy of source
             rows.append((path, repo, file_id, h1, h2, code, content_reason(text)))
-        yield pd.DataFrame(rows, columns=["path", "repo", "file_id", "h1", "h2", "code", "why"]).astype({"file_id": "Int64", "h1": "Int64", "h2": "Int64"})
+        yield batch_of(rows, {"path": pa.string(), "repo": pa.string(), "file_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "code": pa.int64(), "why": pa.string()})
 
 
-def _ancestors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each file's leaf, lifted to each directory above it; the file itself is the node of depth -1."""
+def batch_of(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    by_column = list(zip(*rows)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(by_column, columns.values())], list(columns))
+
+
+def _ancestors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each file's leaf, lifted to each directory above it; the file itself comes first."""
     for b in batches:
         rows = []
-        for path, repo, h1, h2, code in zip(b["path"], b["repo"], b["h1"], b["h2"], b["code"]):
+        for path, repo, h1, h2, code in zip(*(c.to_pylist() for c in b.columns)):
             rows.append((path, repo, path, False, h1, h2, code))
             parts = path.split("/")
             a = ((h1 & 0xFFFFFFFFFFFFFFFF) << 64) | (h2 & 0xFFFFFFFFFFFFFFFF)
             for i in range(len(parts) - 1, 0, -1):
                 a = xxhash.xxh3_128_intdigest(parts[i].encode() + b"\0" + a.to_bytes(16, "big"))
                 rows.append((path, repo, "/".join(parts[:i]), True, *signed(a), code))
-        yield pd.DataFrame(rows, columns=["path", "repo", "node", "is_dir", "h1", "h2", "code"])
+        yield batch_of(rows, {"path": pa.string(), "repo": pa.string(), "node": pa.string(), "is_dir": pa.bool_(), "h1": pa.int64(), "h2": pa.int64(), "code": pa.int64()})
 
 
 def features(files: DataFrame) -> DataFrame:
     """FEATURES per row of ``files`` (file_id, path, language_id, content): the leaf hash, the length of its code, and what the
     content says. Null and blank contents have no hash and say nothing; rows without a path are left out."""
-    return files.select("file_id", "path", "language_id", "content").mapInPandas(_features, FEATURES)
+    return files.select("file_id", "path", "language_id", "content").mapInArrow(_features, FEATURES)
 
 
 def vendored_by_hash(feats: DataFrame) -> DataFrame:
@@ -143,7 +148,7 @@ def vendored_by_hash(feats: DataFrame) -> DataFrame:
     Of a path that was parsed several times, the last row (by file_id) counts. Paths without content take no part.
     """
     last = feats.where("h1 is not null").groupBy("path", "repo").agg(F.max_by(F.struct("h1", "h2", "code"), F.struct("file_id", "h1", "h2")).alias("f")).select("path", "repo", "f.*")
-    lifted = cut(last.mapInPandas(_ancestors, "path string, repo string, node string, is_dir boolean, h1 long, h2 long, code long"))
+    lifted = cut(last.mapInArrow(_ancestors, "path string, repo string, node string, is_dir boolean, h1 long, h2 long, code long"))
     nodes = lifted.groupBy("repo", "node", "is_dir").agg(F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.sum("code").alias("code"), F.count(F.lit(1)).alias("n_files"))
     nodes = cut(nodes)
     whole = nodes.where(F.col("node") == F.col("repo")).select("repo", F.col("n_files").alias("of"))

@@ -218,9 +218,6 @@ def _predict(model: Model, data: list[np.ndarray], which: np.ndarray) -> np.ndar
 def _fit(data: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int, rng) -> Model:
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = rng.uniform(-1, 1, (DIM, len(LANGS))).astype(np.float32), np.zeros(len(LANGS), np.float32)
-    # each language counts alike, however many segments it has
-    n = np.bincount(y[used], minlength=len(LANGS))
-    weight = (n.sum() / np.maximum(n, 1) / max(1, (n > 0).sum()))[y].clip(0.2, 5).astype(np.float32)
     batches = max(1, -(-len(used) // BATCH))
     for step in range(epochs * batches):
         if step % batches == 0:
@@ -238,7 +235,6 @@ def _fit(data: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int, r
         e = np.exp(z)
         g = e / e.sum(axis=1, keepdims=True)
         g[np.arange(len(part)), y[part]] -= 1
-        g *= weight[part][:, None]
         # summed over the batch, as if its segments came one by one
         back = m.T @ (g @ w.T)
         w -= rate * (mean.T @ g)
@@ -251,7 +247,8 @@ def calibrate(model: Model, data: list[np.ndarray], y: np.ndarray, held: np.ndar
     """The temperature with the least loss on held-out segments, and the least confidence above which PRECISION of them are right."""
     sums, counts = _sums(model, data, held)
     best = np.inf
-    for t in (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0):
+    # below 1 it would make the model surer of texts unlike those it has seen
+    for t in (1.0, 1.2, 1.5, 2.0, 3.0):
         model.temperature, old = t, model.temperature
         p = model.probabilities(sums, counts)
         loss = -np.log(np.maximum(p[np.arange(len(held)), y[held]], 1e-9)).mean()

@@ -137,6 +137,8 @@ def check_source(language: str, text: str | None) -> Errors:
         return Errors()
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)
+    if "\0" in text and language in ("go", "python"):  # not allowed anywhere, be it in a comment
+        return Errors([(text.count("\n", 0, text.index("\0")) + 1, "a null character")])
     parse = {"go": golang.parse, "python": python3.parse, "javascript": ecma.parse_js, "typescript": ecma.parse_ts, "json": json_text.parse}[language]
     try:
         return Errors(parse(text))

@@ -8,15 +8,16 @@ from itertools import accumulate
 from .base import END, WRONG, Bad, Kinds, Parser, Shapes
 
 # reserved words; the others (of, as, type, ...) are names that the grammar knows by context
-_WORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let static async of as from get set type interface namespace module declare abstract readonly public private protected override implements keyof infer is asserts satisfies unique accessor target meta constructor"
+_WORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let static async of as from get set type interface namespace module declare abstract readonly public private protected override implements keyof infer is asserts satisfies unique accessor target meta constructor using package"
 _OPS = ">>>= **= <<= >>= &&= ||= ??= === !== ... >>> ** ++ -- << >> <= >= == != => && || ?? ?. += -= *= /= %= &= |= ^= + - * / % & | ^ ! ~ < > ? : = ( ) [ ] { } , ; . @"
 _RE = r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-zA-Z]*"
+_BEFORE_RE = "|".join(re.escape(o) for o in _OPS.split() if o not in (")", "]", ".", "?.", "++", "--", "@", "/"))
 _NAME = r"(?:[^\W\d]|[$])(?:[\w$\u200c\u200d]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*"
 _ESC = r"\\(?:\r\n|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|u\{[0-9a-fA-F]+\}|0(?!\d)|[^xu\d\r])"
 TOKEN = re.compile(
     r"\n|//[^\n\u2028\u2029]*|/\*.*?\*/|/\*"
     # a slash begins a regular expression behind these, which are matched together with it
-    rf"|(?:=>|[=(,:\[!&|?{{}};+*%<>~^-]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await|instanceof)\b)\s*{_RE}"
+    rf"|(?:{_BEFORE_RE}|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await|instanceof)\b)\s*{_RE}"
     rf"|\#?{_NAME}"
     r"|(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?"
     rf"|\"(?:[^\"\\\n]|{_ESC})*\"|'(?:[^'\\\n]|{_ESC})*'|`(?:[^`\\]|\\.)*`|" + "|".join(re.escape(o) for o in _OPS.split() if o != "?.") .replace(r"\?\?=", r"\?\.(?!\d)|\?\?=", 1) + r"|[^\s\x1c-\x1f\x85]|[\x1c-\x1f\x85]",
@@ -117,13 +118,16 @@ def expression_ok(text: str) -> bool:
     s, nl = kinds_of(text)
     if WRONG in s:
         return False
-    p = Ecma(s, nl, True)
-    p.await_ok = True
-    try:
-        p.expression()
-        return p.s[p.p] == END
-    except Bad:
-        return False
+    for part in (Ecma.expression, Ecma.type):  # templates are types as well
+        p = Ecma(s, nl, True)
+        p.await_ok = p.yield_ok = True
+        try:
+            part(p)
+            if p.s[p.p] == END:
+                return True
+        except Bad:
+            pass
+    return False
 
 
 K = Kinds(_WORDS, _OPS, _other)
@@ -166,11 +170,11 @@ def kinds_of(text: str) -> tuple[str, set[int]]:
     return "".join(parts), set(accumulate(map(len, parts)))
 
 
-(BREAK, CASE, CATCH, CLASS, CONST, CONTINUE, DEBUGGER, DEFAULT, DELETE, DO, ELSE, ENUM, EXPORT, EXTENDS, FALSE, FINALLY, FOR, FUNCTION, IF, IMPORT, IN, INSTANCEOF, NEW, NULL, RETURN, SUPER, SWITCH, THIS, THROW, TRUE, TRY, TYPEOF, VAR, VOID, WHILE, WITH, YIELD, AWAIT, LET, STATIC, ASYNC, OF, AS, FROM, GET, SET, TYPE, INTERFACE, NAMESPACE, MODULE, DECLARE, ABSTRACT, READONLY, PUBLIC, PRIVATE, PROTECTED, OVERRIDE, IMPLEMENTS, KEYOF, INFER, IS, ASSERTS, SATISFIES, UNIQUE, ACCESSOR, TARGET, META, CONSTRUCTOR) = (k[w] for w in _WORDS.split())
+(BREAK, CASE, CATCH, CLASS, CONST, CONTINUE, DEBUGGER, DEFAULT, DELETE, DO, ELSE, ENUM, EXPORT, EXTENDS, FALSE, FINALLY, FOR, FUNCTION, IF, IMPORT, IN, INSTANCEOF, NEW, NULL, RETURN, SUPER, SWITCH, THIS, THROW, TRUE, TRY, TYPEOF, VAR, VOID, WHILE, WITH, YIELD, AWAIT, LET, STATIC, ASYNC, OF, AS, FROM, GET, SET, TYPE, INTERFACE, NAMESPACE, MODULE, DECLARE, ABSTRACT, READONLY, PUBLIC, PRIVATE, PROTECTED, OVERRIDE, IMPLEMENTS, KEYOF, INFER, IS, ASSERTS, SATISFIES, UNIQUE, ACCESSOR, TARGET, META, CONSTRUCTOR, USING, PACKAGE) = (k[w] for w in _WORDS.split())
 ARROW, SPREAD, OPT, INC, DEC, NULLISH, ANDAND, OROR, POW = (k[o] for o in "=> ... ?. ++ -- ?? && || **".split())
 SHR, USHR, GE, SHRA, USHRA = (k[o] for o in ">> >>> >= >>= >>>=".split())
 #: Reserved in modules; what follows YIELD in the list of words are names unless the grammar takes them otherwise.
-RESERVED = set(K.chars(" ".join(_WORDS.split()[: _WORDS.split().index("yield")]))) | {YIELD, AWAIT, LET, STATIC, IMPLEMENTS, INTERFACE, PRIVATE, PROTECTED, PUBLIC}
+RESERVED = set(K.chars(" ".join(_WORDS.split()[: _WORDS.split().index("yield")]))) | {YIELD, AWAIT, LET, STATIC, IMPLEMENTS, INTERFACE, PRIVATE, PROTECTED, PUBLIC, PACKAGE}
 WORDS = set(K.chars(_WORDS)) | {"I"}
 NAMES = (WORDS - RESERVED) | {"I"}
 TS_NAMES = NAMES
@@ -226,7 +230,8 @@ class Ecma(Parser):
                 continue
             try:
                 self.statement()
-                if key and self.p == stop:
+                # whether an if ends here depends on what follows
+                if key and self.p == stop and IF not in key:
                     self.shapes.keep(key)
             except Bad as e:
                 self.record(e)
@@ -257,6 +262,10 @@ class Ecma(Parser):
             self.p += 1
             self.declarators(c == CONST)
             self.semi()
+        elif self.ts and (c == USING and n in NAMES and s[self.p + 2] == "=" or c == AWAIT and n == USING and s[self.p + 2] in NAMES):
+            self.p += 1 + (c == AWAIT)
+            self.declarators(True)
+            self.semi()
         elif c == FUNCTION:
             self.function(True)
         elif c == ASYNC and n == FUNCTION and self.p + 1 not in self.nl:
@@ -379,10 +388,25 @@ class Ecma(Parser):
             else:
                 self.statement()
             self.ambient = ambient
+        elif self.ambient and c == "I" and n == "{":  # global, within a declared module
+            self.p += 1
+            self.block()
         else:
             return False
         return True
 
+    def enum(self) -> None:
+        self.need(ENUM)
+        self.ident()
+        self.need("{")
+        while self.s[self.p] != "}":
+            self.property_name()
+            if self.eat("="):
+                self.assignment()
+            if not self.eat(","):
+                break
+        self.need("}")
+
     def word(self) -> None:
         if self.s[self.p] not in WORDS:
             self.fail("a name")
@@ -828,7 +852,7 @@ class Ecma(Parser):
             after = s[e + 1]
             if after != ARROW and not (self.ts and after == ":"):
                 return False
-        old = self.await_ok, self.yield_ok, self.in_ok
+        old, kinds = (self.await_ok, self.yield_ok, self.in_ok), self.s
         n = len(self.errors)
         try:
             is_async = self.eat(ASYNC)
@@ -844,7 +868,7 @@ class Ecma(Parser):
         except Bad:
             if s[q] == "(" and after == ARROW:
                 raise
-            self.p = at
+            self.p, self.s = at, kinds
             del self.errors[n:]
             self.await_ok, self.yield_ok, self.in_ok = old
             return False
@@ -981,16 +1005,16 @@ class Ecma(Parser):
 
     def try_type_args(self) -> bool:
         """<types> behind an expression if a call, a template or an end follows."""
-        at = self.p
+        at, kinds = self.p, self.s
         try:
             self.type_args()
         except Bad:
-            self.p = at
+            self.p, self.s = at, kinds
             return False
         c = self.s[self.p]
         if c in "(T" or c in ")],;:}." or c == END or self.p in self.nl:
             return True
-        self.p = at
+        self.p, self.s = at, kinds
         return False
 
     def arguments(self) -> None:
@@ -1270,6 +1294,9 @@ class Ecma(Parser):
     def function_type(self) -> bool:
         """Do the brackets here hold parameters?"""
         s, depth, e = self.s, 0, self.p
+        c = s[e + 1]
+        if not (c in ")[{" or c == SPREAD or c in WORDS and s[e + 2] in ":,?=)"):
+            return False
         while s[e] != END:
             if s[e] in "([{":
                 depth += 1
