@@ -27,7 +27,7 @@ def unquote(s: str) -> str:
 
 def quote(s: str) -> str:
     back = {v: k for k, v in _ESCAPES.items()}
-    return '"' + "".join("\\" + back[c] if c in back else c if c.isprintable() or c == " " else f"\\u{ord(c):04x}" for c in s) + '"'
+    return '"' + "".join("\\" + back[c] if c in back else c if c >= " " and c != "\x7f" else f"\\x{ord(c):02x}" for c in s) + '"'
 
 
 def tokens(source: str) -> list[Token]:

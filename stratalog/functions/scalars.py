@@ -65,15 +65,10 @@ def last_segment(c: Column | str) -> Column:
     return F.substring_index(c, ".", -1)
 
 
-def glob_regex(glob: str) -> str:
-    """A glob as an anchored regular expression: ** any text, * and ? none across /."""
-    import re
-
-    out, i = "", 0
-    while i < len(glob):
-        if glob[i : i + 2] == "**":
-            out, i = out + ".*", i + 2
-        else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i]))
-            i += 1
-    return f"^{out}$"
+def glob_regex(glob: Column | str) -> Column:
+    """A glob as an anchored regular expression: ** is any text, * and ? are none across /. A str is the glob itself."""
+    c = F.lit(glob) if isinstance(glob, str) else glob
+    c = F.regexp_replace(c, r"([.+()\[\]{}^$|\\])", r"\\$1")
+    for mark, means in ((r"\*\*", "\x01"), (r"\*", "[^/]*"), (r"\?", "[^/]"), ("\x01", ".*")):
+        c = F.regexp_replace(c, mark, means)
+    return F.concat(F.lit("^"), c, F.lit("$"))

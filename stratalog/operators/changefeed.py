@@ -51,8 +51,8 @@ def watermark(places: DataFrame, place: str = "place", start: int = 1, closed: D
 
 def gaps(places: DataFrame, place: str = "place") -> DataFrame:
     """The missing ranges between the known places: ``gap_from``, ``gap_to``, inclusive. Null places do not count."""
-    p = with_previous(places.select(F.col(place).cast("long").alias("__p")).dropna().distinct(), ["__p"], "__p", "__before")
-    return p.where(F.col("__p") > F.col("__before") + 1).select((F.col("__before") + 1).alias("gap_from"), (F.col("__p") - 1).alias("gap_to"))
+    p = with_previous(places.select(F.col(place).cast("long").alias("__p")).dropna().distinct(), ["__p"], "__p", "__was")
+    return p.where(F.col("__p") > F.col("__was") + 1).select((F.col("__was") + 1).alias("gap_from"), (F.col("__p") - 1).alias("gap_to"))
 
 
 def transactions(changes: DataFrame, place: str = "place", tx: str = "tx") -> DataFrame:

@@ -60,7 +60,7 @@ def lookup_suffix(names: DataFrame, entities: DataFrame, mode: str = "strict") -
 def attribute_filter(entities: DataFrame, field: str, op: str, value: str) -> DataFrame:
     """Entities whose ``field`` is equal to, begins with or matches the glob ``value`` (op eq, prefix or glob)."""
     c = F.col(field)
-    tests = {"eq": lambda: c == value, "prefix": lambda: c.startswith(value), "glob": lambda: c.rlike(glob_regex(value))}
+    tests = {"eq": lambda: c == value, "prefix": lambda: c.startswith(value), "glob": lambda: F.rlike(c, glob_regex(value))}
     if op not in tests:
         raise ValueError(f"unknown operator: {op}")
     return entities.where(tests[op]())

@@ -13,8 +13,8 @@ referring row's own order (``target_order <= ref_order``).
 Shape of the plan for each mask. The references are reduced to one row per key (count and least order, combined
 before the shuffle, so a key that holds a third of all rows costs one row per task), joined with the targets reduced
 to their first order, and only the keys with some orphan ("suspects") are kept. Suspects go back to the rows in two
-ways: the ``HEAVY`` most frequent ones by broadcast (a fixed number of rows whatever the input), the others, none of
-which can hold more than 1/HEAVY of the rows, by a shuffle join.
+ways: those that hold at least 1/HEAVY of the suspects' rows, of which there can be no more than HEAVY, by broadcast; the
+others, each with less than that share, by a shuffle join.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Number of keys that are sent by broadcast; any other key holds at most 1/HEAVY of the references.
+#: Most keys that are sent by broadcast; any other key holds less than 1/HEAVY of the rows that are joined.
 HEAVY = 1000
 LEAST = -(1 << 63)
 
@@ -73,11 +73,12 @@ def _anti(rows, targets, pairs, ref_order, target_order, heavy):
     first = F.min(F.col(target_order).cast("long")) if target_order else F.min(F.lit(0))
     keyed = rows.withColumns({n: F.col(r) for n, (r, _) in zip(keys, pairs)} | {"__at": at})
     need = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__least"))
-    have = targets.select(*[F.col(t).alias(n) for n, (_, t) in zip(keys, pairs)], *[F.col(target_order)] * bool(target_order))
+    have = targets.select(*[F.col(t).alias(n) for n, (_, t) in zip(keys, pairs)], *([F.col(target_order)] if target_order else []))
     have = have.dropna(subset=keys).groupBy(*keys).agg(first.alias("__first"))
     suspects = cut(need.join(have, keys, "left").where(F.col("__first").isNull() | (F.col("__least") < F.col("__first"))).select(*keys, "__n", "__first"))
-    top = cut(suspects.orderBy(F.desc("__n"), *keys).limit(heavy).select(*keys, "__first"))
-    rest = suspects.select(*keys, "__first").join(F.broadcast(top.select(*keys)), keys, "left_anti")
+    # of counts that are at least 1/heavy of their sum there are at most ``heavy``
+    is_hot = F.col("__n") * heavy >= suspects.agg(F.sum("__n")).scalar()
+    top, rest = (suspects.where(c).select(*keys, "__first") for c in (is_hot, ~is_hot))
     flagged = keyed.join(F.broadcast(top.withColumn("__hit", F.lit(True)).withColumnRenamed("__first", "__f")), keys, "left")
     late = lambda c: F.col(c).isNull() | (F.col("__at") < F.col(c))
     by_broadcast = flagged.where(F.col("__hit") & late("__f")).select(*rows.columns)

@@ -92,8 +92,7 @@ def resolve_ladder(selectors: DataFrame, entities: DataFrame) -> DataFrame:
     parts = []
     for kind, column in (("qualified_name", "qualified_name"), ("signature_id", "id"), ("body_hash", "body_hash")):
         parts.append(a.where(F.col("kind") == kind).join(e.select(F.col(column).alias("str"), F.col("id").alias("entity_id")).dropna(), "str").select("name", "ord", "entity_id"))
-    to_regex = F.udf(glob_regex, "string")
-    globs = a.where("kind = 'path_glob'").withColumn("pattern", to_regex("str"))
+    globs = a.where("kind = 'path_glob'").withColumn("pattern", glob_regex(F.col("str")))
     paths = e.where("path is not null").select("path", F.col("id").alias("entity_id"))
     parts.append(globs.join(paths, F.rlike(paths["path"], globs["pattern"])).select("name", "ord", "entity_id"))
     hits = parts[0]

@@ -1,8 +1,8 @@
 """Per-key results where a few keys hold most rows: aggregation in two salted stages.
 
-1. The heavy keys are found by an exact count, combined before its shuffle; the ``HEAVY`` most frequent ones that hold at
-   least ``least_rows`` rows are kept. That is a fixed number of rows whatever the input, so they may be broadcast, and
-   any other key holds at most 1/HEAVY of the rows.
+1. The heavy keys are found by an exact count, combined before its shuffle: those that hold at least 1/HEAVY of the rows
+   (and ``least_rows`` of them). There are at most HEAVY such keys whatever the input, so they may be broadcast, and any
+   other key holds less than that share.
 2. Rows of heavy keys get a salt, the hash of the value that is counted distinct (or of the whole row): a third of
    all rows under one key is then spread over ``salts`` tasks. The salt is a function of the row, not a random number, so that
    a task that is run again after a loss yields the same rows.
@@ -20,9 +20,11 @@ HEAVY, SALTS, LEAST_ROWS = 1000, 64, 10_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], heavy: int = HEAVY, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """At most ``heavy`` rows: the keys with the most rows, ``n_rows`` each, none under ``least_rows``. Null keys are none."""
-    n = df.select(*keys).dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return n.where(F.col("n_rows") >= least_rows).orderBy(F.desc("n_rows"), *keys).limit(heavy)
+    """The keys that hold at least 1/heavy of the rows, and at least ``least_rows``, with their ``n_rows``: at most ``heavy`` rows, as the
+    shares add up to no more than one. Null keys are none."""
+    rows = df.select(*keys).dropna()
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.where((F.col("n_rows") >= least_rows) & (F.col("n_rows") * heavy >= rows.agg(F.count(F.lit(1))).scalar()))
 
 
 def salted(df: DataFrame, keys: Sequence[str], on: Sequence[str], heavy: int = HEAVY, salts: int = SALTS, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -59,12 +61,12 @@ def salted_aggregate(
 def hot_join(rows: DataFrame, side: DataFrame, on: Sequence[str], weight: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
     """``rows`` joined with ``side`` (one row per key, no nulls) by ``how`` (inner or left_semi) without a hot task.
 
-    weight: a column of ``side`` that orders its keys by how many rows they hold, such as their count. The ``heavy`` first ones
-    are joined by broadcast, a fixed number of rows; any other key holds at most 1/heavy of the rows if the weights are counts, and
-    goes by a shuffle. The weight is not part of the result.
+    weight: a column of ``side`` with the number of rows each key holds. Keys with at least 1/heavy of the sum of all weights are
+    joined by broadcast; there are at most ``heavy`` of them. Each other key holds less than that share, and goes by a
+    shuffle. The weight is not part of the result. ``side`` is read several times, so it should be a written table.
     """
-    top = side.orderBy(F.desc(weight), *on).limit(heavy).drop(weight)
-    rest = side.drop(weight).join(F.broadcast(top.select(*on)), list(on), "left_anti")
+    is_hot = (F.col(weight) > 0) & (F.col(weight) * heavy >= side.agg(F.sum(weight)).scalar())
+    top, rest = side.where(is_hot).drop(weight), side.where(~is_hot).drop(weight)
     marked = rows.join(F.broadcast(top.select(*on, F.lit(True).alias("__hot"))), list(on), "left")
     hot = marked.where("__hot").drop("__hot").join(F.broadcast(top), list(on), how)
     cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(rest, list(on), how)
