@@ -72,12 +72,12 @@ def content_reason(text: str) -> str | None:
     size = len(text.strip())
     if size < LEAST_CODE:
         return None
+    if _LOCK.search(text):
+        return "data"
     if len(text) > LONG_LINE:
-        long = sum(n for n in map(len, text.splitlines()) if n > LONG_LINE)
+        long = sum(len(x) for x in text.splitlines() if len(x) > LONG_LINE and not x.lstrip().startswith(("//", "#", "*")))
         if long >= LONG_SHARE * size:
             return "data" if sum(map(len, _LITERAL.findall(text))) >= LITERAL_SHARE * size else "minified"
-    if _LOCK.search(text):
-        return "data"
     solid = "".join(text.split())
     # literals are looked for only where there are enough digits or quotes for them
     digits = sum(map(solid.count, "0123456789"))

@@ -45,6 +45,8 @@ NONE = len(LANGS)
 #: The bound of the training sample, and the parts of it.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SEGMENTS = 4000, 4000, 16_000
 BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 6, 0.3, 128
+#: Steps of a training at least, for small samples.
+LEAST_STEPS = 400
 #: Words of a passage; words from which a segment counts in training; cost of a change of language.
 PASSAGE, LEAST_WORDS, SWITCH = 10, 4, 3.0
 #: Share of the held-out segments, believed and right, for which the threshold is set.
@@ -219,6 +221,7 @@ def _fit(data: list[np.ndarray], y: np.ndarray, used: np.ndarray, epochs: int, r
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = rng.uniform(-1, 1, (DIM, len(LANGS))).astype(np.float32), np.zeros(len(LANGS), np.float32)
     batches = max(1, -(-len(used) // BATCH))
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
     for step in range(epochs * batches):
         if step % batches == 0:
             parts = np.array_split(rng.permutation(used), batches)

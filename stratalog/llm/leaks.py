@@ -182,17 +182,20 @@ def candidates(streams: list[bytes], index: Index) -> list[tuple[int, int, int]]
     return [(int(p) // len(index.ids), int(p) % len(index.ids), (int(x) - (1 << 25)) * (BAND // 2)) for p, x in zip(pair[good], k[good] & ((1 << 26) - 1))]
 
 
-def aligned(doc_words: list[bytes], doc_places: np.ndarray, words: list[bytes], places: np.ndarray, diagonal: int) -> list[bool]:
-    """Which of an item's words are matched in the longest chain of equal words in order, within the band from ``diagonal``
-    (and half a band on either side, as words altered or added shift what follows)."""
+def aligned(doc_words: list[bytes], doc_places: np.ndarray, words: list[bytes], places: np.ndarray, diagonal: int) -> list[list[bool]]:
+    """Which of an item's words are matched within the band from ``diagonal`` (and half a band on either side, as words altered or
+    added shift what follows), in several alignments: the longest chain of equal words in order, which follows words added and
+    left out, and each word diagonal with enough matches, on which no chance match elsewhere can draw words away."""
     lows = np.searchsorted(doc_places, places + (diagonal - BAND // 2))
     highs = np.searchsorted(doc_places, places + (diagonal + BAND + BAND // 2), "right")
     tails: list[int] = []  # the least last document word of a chain of each length
     at: list[tuple[int, int]] = []  # that chain's last pair
     came: dict[tuple[int, int], tuple[int, int] | None] = {}
+    straight: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         for j in range(int(highs[i]) - 1, int(lows[i]) - 1, -1):
             if doc_words[j] == w:
+                straight.setdefault(j - i, []).append(i)
                 k = bisect_left(tails, j)
                 came[i, j] = at[k - 1] if k else None
                 if k == len(tails):
@@ -201,12 +204,19 @@ def aligned(doc_words: list[bytes], doc_places: np.ndarray, words: list[bytes],
                 else:
                     tails[k] = j
                     at[k] = (i, j)
-    found = [False] * len(words)
+    chain = []
     step = at[-1] if at else None
     while step is not None:
-        found[step[0]] = True
+        chain.append(step[0])
         step = came[step]
-    return found
+    out = []
+    for matched in [chain, *straight.values()]:
+        if len(matched) >= WORDS - WORDS // ONE_IN:
+            found = [False] * len(words)
+            for i in matched:
+                found[i] = True
+            out.append(found)
+    return out
 
 
 def longest_passage(found: list[bool]) -> int:
@@ -232,7 +242,7 @@ def leaked(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]:
         if doc not in words:
             w = words_of(texts[doc])
             words[doc] = w, np.concatenate([[0], np.cumsum([len(x) for x in w])[:-1]])
-        n = longest_passage(aligned(*words[doc], index.words[item], index.places[item], diagonal))
+        n = max(map(longest_passage, aligned(*words[doc], index.words[item], index.places[item], diagonal)), default=0)
         if n >= WORDS:
             out[doc, item] = max(n, out.get((doc, item), 0))
     return [(doc, index.ids[item], n) for (doc, item), n in out.items()]

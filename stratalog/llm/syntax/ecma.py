@@ -186,7 +186,7 @@ SHAPES = {False: Shapes(), True: Shapes()}
 
 
 class Ecma(Parser):
-    """Expressions return what they are: n name, m member, p pattern-like literal, o other."""
+    """Expressions return what they are: n name, m member, p pattern-like literal, u unary, l of && or ||, o other."""
 
     kinds = K
 
@@ -906,7 +906,6 @@ class Ecma(Parser):
             what = "o"
         else:
             what = self.unary()
-        mixed = ""
         while True:
             c = s[self.p]
             n = PREC.get(c, 0)
@@ -922,13 +921,11 @@ class Ecma(Parser):
                 return what
             if c == POW and what == "u":
                 self.fail("brackets around the unary expression")
-            if c == NULLISH and mixed in (ANDAND, OROR) and mixed or c in (ANDAND, OROR) and mixed == NULLISH:
-                self.fail("brackets where ?? meets || or &&")
-            if c in (NULLISH, ANDAND, OROR):
-                mixed = c
             self.p += 1
-            self.binary(n if c == POW else n + 1)
-            what = "o"
+            right = self.binary(n if c == POW else n + 1)
+            if c == NULLISH and "l" in (what, right):
+                self.fail("brackets where ?? meets || or &&")
+            what = "l" if c in (ANDAND, OROR) else "o"
 
     def unary(self) -> str:
         s, c = self.s, self.s[self.p]
