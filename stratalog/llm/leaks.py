@@ -9,7 +9,7 @@ A window of ``WORDS`` item words of which one in ``ONE_IN`` may be altered keeps
 n - q + 1 - sum(length + q - 1 of each altered word) of its n characters' q-grams. The least value over all windows of an item,
 with its longest words altered, is the number of points that a band must hold (the edit budget); no passage is lost by it.
 Regions that reach it are verified by an alignment of words within the band, and a pair is kept if some window of the
-item's words, matched at both ends, is long enough with few enough words unmatched.
+item's words is long enough with few enough words unmatched.
 
 The items are a query set held against all documents: they are sent to the tasks in blocks of at most ``BLOCK`` characters, one
 pass over the documents for each block, so what is broadcast is bounded whatever the number of items. Documents
@@ -220,17 +220,19 @@ def aligned(doc_words: list[bytes], doc_places: np.ndarray, words: list[bytes],
 
 
 def longest_passage(found: list[bool]) -> int:
-    """Words of the longest window that is matched at both ends with at most one in ONE_IN unmatched."""
-    best, n = 0, len(found)
+    """Words of the longest window of which at most one in ONE_IN is unmatched."""
     total = [0]
     for f in found:
         total.append(total[-1] + (1 if f else 1 - ONE_IN))
-    for a in range(n):
-        if found[a]:
-            for b in range(n, a + best, -1):
-                if found[b - 1] and total[b] >= total[a]:
-                    best = b - a
-                    break
+    # the longest span whose end is not below its start: starts can only be new minima
+    starts = [0]
+    for i, t in enumerate(total):
+        if t < total[starts[-1]]:
+            starts.append(i)
+    best = 0
+    for end in range(len(found), 0, -1):
+        while starts and total[starts[-1]] <= total[end]:
+            best = max(best, end - starts.pop())
     return best
 
 
@@ -254,7 +256,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
     the same item_id each counts. Repeated rows of ``docs`` stay repeated; other columns are ignored."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, n_words int"
-    items = items.select("item_id", "text")
+    # shorter texts have no passage; so the number of items in a block is bounded as well
+    items = items.select("item_id", "text").where(F.length("text") >= 2 * WORDS - 1)
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     # what items share is found before they are cut into blocks
     opening = F.regexp_extract("text", r"(?s)^\s*(.*?[.?!:])(?=\s)", 1)
