@@ -20,7 +20,7 @@ TOKEN = re.compile(
     rf"|(?:{_BEFORE_RE}|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await|instanceof)\b)\s*{_RE}"
     rf"|\#?{_NAME}"
     r"|(?:0[xX][\da-fA-F]+(?:_[\da-fA-F]+)*|0[bB][01]+(?:_[01]+)*|0[oO][0-7]+(?:_[0-7]+)*|(?:(?:0|[1-9]\d*(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?)n?"
-    rf"|\"(?:[^\"\\\n]|{_ESC})*\"|'(?:[^'\\\n]|{_ESC})*'|`(?:[^`\\]|\\.)*`|" + "|".join(re.escape(o) for o in _OPS.split() if o != "?.") .replace(r"\?\?=", r"\?\.(?!\d)|\?\?=", 1) + r"|[^\s\x1c-\x1f\x85]|[\x1c-\x1f\x85]",
+    rf"|\"(?:[^\"\\\n]|{_ESC})*\"|'(?:[^'\\\n]|{_ESC})*'|`(?:[^`\\]|\\.)*`|" + "|".join(re.escape(o) + r"(?!\d)" * (o == "?.") for o in _OPS.split()) + r"|[^\s\x1c-\x1f\x85]|[\x1c-\x1f\x85]",
     re.S,
 )
 _JOINED = re.compile(rf"(\S+?)\s*({_RE})\Z")
@@ -177,7 +177,6 @@ SHR, USHR, GE, SHRA, USHRA = (k[o] for o in ">> >>> >= >>= >>>=".split())
 RESERVED = set(K.chars(" ".join(_WORDS.split()[: _WORDS.split().index("yield")]))) | {YIELD, AWAIT, LET, STATIC, IMPLEMENTS, INTERFACE, PRIVATE, PROTECTED, PUBLIC, PACKAGE}
 WORDS = set(K.chars(_WORDS)) | {"I"}
 NAMES = (WORDS - RESERVED) | {"I"}
-TS_NAMES = NAMES
 PREC = {k[o]: n for n, ops in enumerate(("??", "||", "&&", "|", "^", "&", "== != === !==", "< > <= >= instanceof in", "<< >> >>>", "+ -", "* / %", "**"), 1) for o in ops.split()}
 ASSIGN = set(K.chars(">>>= **= <<= >>= &&= ||= ??= += -= *= /= %= &= |= ^= ="))
 UNARY = set(K.chars("delete void typeof + - ~ !"))
@@ -194,6 +193,7 @@ class Ecma(Parser):
         super().__init__(s)
         self.nl, self.ts, self.shapes = nl, ts, SHAPES[ts]
         self.await_ok, self.in_ok, self.yield_ok, self.in_function, self.ambient = True, True, False, False, False
+        self.no_cond = False  # within the extends part of a conditional type
 
     def ctx(self) -> str:
         return f"{self.await_ok:d}{self.yield_ok:d}{self.in_function:d}{self.ambient:d}"
@@ -352,13 +352,13 @@ class Ecma(Parser):
     def ts_statement(self, c: str, n: str) -> bool:
         s = self.s
         same = self.p + 1 not in self.nl
-        if c == TYPE and n in TS_NAMES and same and s[self.p + 2] in "=<":
+        if c == TYPE and n in NAMES and same and s[self.p + 2] in "=<":
             self.p += 2
             self.type_params()
             self.need("=")
             self.type()
             self.semi()
-        elif c == INTERFACE and n in TS_NAMES and same:
+        elif c == INTERFACE and n in NAMES and same:
             self.p += 2
             self.type_params()
             if self.eat(EXTENDS):
@@ -368,7 +368,7 @@ class Ecma(Parser):
             self.object_type()
         elif c == ENUM:
             self.enum()
-        elif c in (NAMESPACE, MODULE) and (n in TS_NAMES or n == "S") and same:
+        elif c in (NAMESPACE, MODULE) and (n in NAMES or n == "S") and same:
             self.p += 2
             while self.eat("."):
                 self.word()
@@ -414,7 +414,7 @@ class Ecma(Parser):
 
     def ident(self) -> None:
         c = self.s[self.p]
-        if c not in NAMES and not (c == YIELD and not self.yield_ok and False):
+        if c not in NAMES:
             self.fail("a name")
         self.p += 1
 
@@ -858,7 +858,7 @@ class Ecma(Parser):
             is_async = self.eat(ASYNC)
             if s[self.p] == "<":
                 self.type_params()
-            self.await_ok = is_async or self.await_ok and False
+            self.await_ok = is_async
             self.params()
             if self.ts and self.eat(":"):
                 self.return_type()
@@ -1180,7 +1180,7 @@ class Ecma(Parser):
 
     def type(self) -> None:
         self.union()
-        if self.s[self.p] == EXTENDS and self.p not in self.nl and not getattr(self, "no_cond", False):
+        if self.s[self.p] == EXTENDS and self.p not in self.nl and not self.no_cond:
             self.p += 1
             self.no_cond = True
             try:
@@ -1233,12 +1233,12 @@ class Ecma(Parser):
             self.type_params()
             self.params()
             self.need(ARROW)
-            cond, self.no_cond = getattr(self, "no_cond", False), False
+            cond, self.no_cond = self.no_cond, False
             self.return_type()
             self.no_cond = cond
         elif c == "(":
             self.p += 1
-            cond, self.no_cond = getattr(self, "no_cond", False), False
+            cond, self.no_cond = self.no_cond, False
             self.type()
             self.no_cond = cond
             self.need(")")
@@ -1318,7 +1318,7 @@ class Ecma(Parser):
     def object_type(self) -> None:
         s = self.s
         self.need("{")
-        cond, self.no_cond = getattr(self, "no_cond", False), False
+        cond, self.no_cond = self.no_cond, False
         while s[self.p] != "}":
             if s[self.p] in "+-" and s[self.p + 1] == READONLY:
                 self.p += 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, WRONG, Bad, Kinds, Parser, Shapes
+from .base import END, MOST_SHAPES, WRONG, Bad, Kinds, Parser
 
 _WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 _OPS = "**= //= >>= <<= ... ** // >> << <= >= == != -> := += -= *= /= %= &= |= ^= @= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; = !"
@@ -207,7 +207,7 @@ class Line(Parser):
         s, n = self.s, len(self.s) - 4
         if s[0] != "I" or n < 3 or ":" not in s or s[1] in "=.,:);":
             return ""
-        for head, kind in ((self.match_head, "match"), (self.case_head, "case")):
+        for head, kind in ((self.star_expressions, "match"), (self.case_head, "case")):
             self.p = 1
             try:
                 head()
@@ -222,9 +222,6 @@ class Line(Parser):
         self.p = 0
         return ""
 
-    def match_head(self) -> None:
-        self.star_expressions()
-
     def case_head(self) -> None:
         self.patterns()
         if self.eat(IF):
@@ -495,22 +492,19 @@ class Line(Parser):
             self.p += 1
             self.expression()
             if self.eat("="):
-                self.yield_or_expressions()
+                self.star_expressions()
         elif c in AUGMENTED:
             if what not in "nas":
                 raise Bad(at, "cannot assign to this expression")
             self.p += 1
-            self.yield_or_expressions()
+            self.star_expressions()
         else:
             while self.s[self.p] == "=":
                 if what not in TARGETS:
                     raise Bad(at, "cannot assign to this expression")
                 self.p += 1
                 at = self.p
-                what = self.yield_or_expressions()
-
-    def yield_or_expressions(self) -> str:
-        return self.star_expressions()
+                what = self.star_expressions()
 
     # expressions -----------------------------------------------------------------------------------------------------
     def star_expressions(self) -> str:
@@ -679,16 +673,13 @@ class Line(Parser):
                 return True
             self.targets()
             self.need(IN)
-            self.disjunction_or_ternary()
+            self.disjunction()
             while self.eat(IF):
                 if s[self.p] == "I" and s[self.p + 1] == WALRUS:
                     self.named()
                 else:
                     self.disjunction()
 
-    def disjunction_or_ternary(self) -> None:
-        self.disjunction()
-
     def paren(self) -> str:
         s = self.s
         self.p += 1
@@ -817,9 +808,7 @@ def shape(s: str) -> str:
     if what is None:
         p = Line(s)
         what = p.line()
-        if what == "@" or what[1:] == "inline":
-            pass
-        if len(SHAPES) > 200_000:
+        if len(SHAPES) > MOST_SHAPES:
             SHAPES.clear()
         SHAPES[s] = what
     return what
@@ -831,23 +820,20 @@ def parse(text: str) -> list[tuple[int, str]]:
     kinds = list(map(K.__getitem__, tokens))
     s = "".join([c if len(c) == 1 else "\2" for c in kinds])  # one character a token, \2 for what is dropped
     errors: list[tuple[int, str]] = []
-    # stack of [indentation, what the last statement at it was, is it inside try without except or finally]
+    # stack of [indentation, the last statement at it as far as a clause may follow]
     stack: list[list] = [["", ""]]
     opened = None  # the head that waits for its block
     lines = s.split("\n")
-    at = 0  # token index of the current line's newline
-    n, first = len(lines), 1
-    i, physical = 1, []
-    # places of physical lines in tokens
+    at = 0
+    n, i = len(lines), 1
+    # the token with which each line begins
     place = []
     for part in lines:
         place.append(at)
         at += len(part) + 1
-    def where(token: int) -> int:
-        return sum(t.count("\n") for t in tokens[: token + 1])
 
     def report(token: int, what: str) -> None:
-        errors.append((where(min(token, len(tokens) - 1)), what))
+        errors.append((sum(t.count("\n") for t in tokens[: token + 1]), what))
 
     while i < n:
         line = lines[i]
@@ -920,12 +906,8 @@ def parse(text: str) -> list[tuple[int, str]]:
                 opened = what if deeper else None
             top[1] = what
             continue
-        if before == "match" or what.startswith("case"):
-            pass
-        if first == ELSE and before in (EXCEPT,):
-            top[1] = ELSE
-        elif first == ELSE:
-            top[1] = "" if before in (IF, ELIF, FOR, WHILE) else ELSE
+        if first == ELSE:
+            top[1] = ELSE if before == EXCEPT else ""
         elif first == FINALLY:
             top[1] = ""
         elif first == ASYNC and len(code) > 1 and code[1] == FOR:
