@@ -45,4 +45,4 @@ def describe(source: str, seq: int) -> dict:
     from .parser import parse
 
     decls = parse(source)
-    return {"resolved_at_kernel_seq": seq, "declarations": len(decls), "canonical_gh": render(decls)}
+    return {"resolved_at_kernel_seq": seq, "declarations": len(decls), "canonical": render(decls)}
