@@ -78,3 +78,4 @@ def test_over_tables(spark, enc):
     assert got == sorted([(1, enc.encode("a b"))] * 2 + [(2, []), (3, []), (None, enc.encode("é"))], key=repr)
     assert rows(token_ids.decode(token_ids.encode(df)))[0] == (1, "a b")
     assert rows(token_ids.encode(df.limit(0))) == []
+    assert rows(token_ids.verify(df, "ids").where("not same")) == [] and token_ids.verify(df, "ids").count() == 5
