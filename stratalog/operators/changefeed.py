@@ -66,7 +66,10 @@ def visible(changes: DataFrame, upto: Column, place: str = "place", tx: str = "t
     """The changes whose whole transaction lies at or before ``upto``. Only transactions that reach over ``upto`` are joined
     back; they are the open ones."""
     open_tx = transactions(changes, place, tx).where((F.col("commit_place") > upto) & (F.col("first_place") <= upto)).select(F.col("tx").alias(tx))
-    return changes.where(F.col(place) <= upto).join(open_tx, tx, "left_anti").select(*changes.columns)
+    before = changes.where(F.col(place) <= upto)
+    # changes without a transaction, often the most, take no part in the join
+    in_tx = F.coalesce(F.col(tx), F.lit("")) != ""
+    return before.where(~in_tx).unionByName(before.where(in_tx).join(open_tx, tx, "left_anti").select(*changes.columns))
 
 
 def fold_changes(changes: DataFrame, keys: list[str], place: str = "place", op: str = "op") -> DataFrame:

@@ -65,10 +65,13 @@ def state_as_of(events: DataFrame, seq: int, keys: Sequence[str], value: str) ->
 def retain(events: DataFrame, most: int, since: Column) -> DataFrame:
     """Events to keep: of each layer the last ``most`` by seq, and any since ``since``.
 
-    The least seq kept is found per layer from the last ``most`` rows, which Spark limits within each task before the shuffle.
+    The least seq kept is found in two stages, the last ``most`` per layer and salt and of these the last per layer, so that no task
+    sees a whole layer.
     """
-    w = W.partitionBy("layer").orderBy(F.desc("seq"))
-    floor = events.select("layer", "seq").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).groupBy("layer").agg(F.min("seq").alias("__floor"))
+    w = W.orderBy(F.desc("seq"))
+    e = events.select("layer", "seq").distinct().withColumn("s", F.pmod(F.xxhash64("seq"), F.lit(64)))
+    some = e.withColumn("n", F.row_number().over(w.partitionBy("layer", "s"))).where(F.col("n") <= most)
+    floor = some.withColumn("n", F.row_number().over(w.partitionBy("layer"))).where(F.col("n") <= most).groupBy("layer").agg(F.min("seq").alias("__floor"))
     return events.join(floor, "layer", "left").where((F.col("seq") >= F.col("__floor")) | (F.col("ts") >= since)).select(*events.columns)
 
 
