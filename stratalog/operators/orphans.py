@@ -40,9 +40,12 @@ def find_orphans(
     ref_order: str | None = None,
     target_order: str | None = None,
     heavy: int = HEAVY,
+    first: str | None = None,
 ) -> DataFrame:
     """Rows of ``refs`` without a target, with all their columns.
 
+    first: the name of a further column with the order at which a target came later, null if there never was one.
+
     on: pairs (column of refs, column of targets). A null ``ref_order`` is before every target, a null
     ``target_order`` is never reached, so both yield orphans. Repeated rows of ``refs`` are kept. Empty ``refs`` give an
     empty result, empty ``targets`` make every reference an orphan (but for keys that refer to nothing). Columns of
@@ -60,14 +63,14 @@ def find_orphans(
         here = reduce(lambda a, b: a & b, (F.col(r).isNotNull() if p else F.col(r).isNull() for p, (r, _) in zip(present, on)))
         rows = refs.where(here)
         if match == "full" and not all(present):
-            out.append(rows)
+            out.append(rows.withColumn(first, F.lit(None).cast("long")) if first else rows)
             continue
         pairs = [p for have, p in zip(present, on) if have]
-        out.append(_anti(rows, targets, pairs, ref_order, target_order, heavy))
+        out.append(_anti(rows, targets, pairs, ref_order, target_order, heavy, first))
     return reduce(DataFrame.unionByName, out)
 
 
-def _anti(rows, targets, pairs, ref_order, target_order, heavy):
+def _anti(rows, targets, pairs, ref_order, target_order, heavy, first_name):
     keys = [f"__k{i}" for i in range(len(pairs))]
     at = F.coalesce(F.col(ref_order).cast("long"), F.lit(LEAST)) if ref_order else F.lit(0)
     first = F.min(F.col(target_order).cast("long")) if target_order else F.min(F.lit(0))
@@ -81,8 +84,9 @@ def _anti(rows, targets, pairs, ref_order, target_order, heavy):
     top, rest = (suspects.where(c).select(*keys, "__first") for c in (is_hot, ~is_hot))
     flagged = keyed.join(F.broadcast(top.withColumn("__hit", F.lit(True)).withColumnRenamed("__first", "__f")), keys, "left")
     late = lambda c: F.col(c).isNull() | (F.col("__at") < F.col(c))
-    by_broadcast = flagged.where(F.col("__hit") & late("__f")).select(*rows.columns)
-    by_shuffle = flagged.where(F.col("__hit").isNull()).drop("__hit", "__f").join(rest, keys, "inner").where(late("__first")).select(*rows.columns)
+    out = lambda c: [*rows.columns, *([F.col(c).alias(first_name)] if first_name else [])]
+    by_broadcast = flagged.where(F.col("__hit") & late("__f")).select(*out("__f"))
+    by_shuffle = flagged.where(F.col("__hit").isNull()).drop("__hit", "__f").join(rest, keys, "inner").where(late("__first")).select(*out("__first"))
     return by_broadcast.unionByName(by_shuffle)
 
 

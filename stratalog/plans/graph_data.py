@@ -45,11 +45,11 @@ def cause_refs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str, first: str | None = None) -> DataFrame:
     ents = table(spark, d, "code_entities").select(norm_id("id").alias("id"), "created_seq")
-    a = orphans.find_orphans(entity_refs(spark, d), ents, [("ref_value", "id")], "simple", "at", "created_seq")
+    a = orphans.find_orphans(entity_refs(spark, d), ents, [("ref_value", "id")], "simple", "at", "created_seq", first=first)
     seqs = table(spark, d, "kernel_events").select("seq", F.col("seq").alias("there_at"))
-    b = orphans.find_orphans(cause_refs(spark, d), seqs, [("cause", "seq")], "simple", "at", "there_at").drop("cause")
+    b = orphans.find_orphans(cause_refs(spark, d), seqs, [("cause", "seq")], "simple", "at", "there_at", first=first).drop("cause")
     return a.unionByName(b)
 
 
@@ -64,16 +64,22 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(refs, _orphans(spark, d).select(*REF, month), ["ref_table", "ref_field", "period"])
 
 
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Per table and field the orphans whose target came later, and those whose target never came."""
+    kind = F.when(F.col("came").isNull(), "never").otherwise("later").alias("kind")
+    return _orphans(spark, d, "came").select(*REF, kind).distinct().groupBy("ref_table", "ref_field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 _REFS_SQL = """
   ents AS (SELECT lower(trim(id, e' \\t')) AS id, min(created_seq) AS first FROM code_entities WHERE trim(id, e' \\t') <> '' GROUP BY 1),
   refs AS (
     SELECT 'code_relations' AS ref_table, 'from_id' AS ref_field, CAST(edge_id AS VARCHAR) AS ref_key, lower(trim(from_id, e' \\t')) AS ref_value, created_seq AS at, observed_at AS seen FROM code_relations
     UNION ALL SELECT 'code_relations', 'to_id', CAST(edge_id AS VARCHAR), lower(trim(to_id, e' \\t')), created_seq, observed_at FROM code_relations
     UNION ALL SELECT 'findings', 'subject.entity_id', id, lower(trim(subject.entity_id, e' \\t')), validation_seq, created_at FROM findings),
-  erefs AS (SELECT r.*, (e.first IS NULL OR e.first > r.at) AS orphan FROM refs r LEFT JOIN ents e ON e.id = r.ref_value WHERE r.ref_value <> ''),
+  erefs AS (SELECT r.*, (e.first IS NULL OR e.first > r.at) AS orphan, CASE WHEN e.first IS NULL THEN 'never' ELSE 'later' END AS kind FROM refs r LEFT JOIN ents e ON e.id = r.ref_value WHERE r.ref_value <> ''),
   seqs AS (SELECT DISTINCT seq FROM kernel_events),
   cr AS (SELECT seq, ts, unnest(causes) AS c FROM kernel_events),
-  crefs AS (SELECT 'kernel_events' AS ref_table, 'causes' AS ref_field, CAST(cr.seq AS VARCHAR) AS ref_key, CAST(c AS VARCHAR) AS ref_value, cr.seq AS at, ts AS seen, (s.seq IS NULL OR s.seq > cr.seq) AS orphan FROM cr LEFT JOIN seqs s ON s.seq = cr.c WHERE c IS NOT NULL),
+  crefs AS (SELECT 'kernel_events' AS ref_table, 'causes' AS ref_field, CAST(cr.seq AS VARCHAR) AS ref_key, CAST(c AS VARCHAR) AS ref_value, cr.seq AS at, ts AS seen, (s.seq IS NULL OR s.seq > cr.seq) AS orphan, CASE WHEN s.seq IS NULL THEN 'never' ELSE 'later' END AS kind FROM cr LEFT JOIN seqs s ON s.seq = cr.c WHERE c IS NOT NULL),
   every AS (SELECT * FROM erefs UNION ALL SELECT * FROM crefs)"""
 P1_FOUND_SQL = f"WITH {_REFS_SQL} SELECT DISTINCT ref_table, ref_field, ref_key, ref_value FROM every WHERE orphan"
 P1_REPORT_SQL = f"""WITH {_REFS_SQL},
@@ -81,6 +87,8 @@ P1_REPORT_SQL = f"""WITH {_REFS_SQL},
   n AS (SELECT ref_table, ref_field, period, count(DISTINCT (ref_key, ref_value)) AS n_refs, count(DISTINCT (ref_key, ref_value)) FILTER (orphan) AS n_orphans FROM m GROUP BY ALL)
   SELECT ref_table, ref_field, period, n_refs, n_orphans FROM n"""
 
+P1_KINDS_SQL = f"WITH {_REFS_SQL} SELECT ref_table, ref_field, kind, count(DISTINCT (ref_key, ref_value)) AS n FROM every WHERE orphan GROUP BY ALL"
+
 #: Kinds of changes, fixed by the data's definition.
 OPS = {"EntityMaterialized": "insert", "OverlayItemImported": "insert", "OverlayItemUpdated": "update", "EntitySuperseded": "delete", "OverlayItemRemoved": "delete"}
 
@@ -169,5 +177,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 P5_FOUND_SQL = """SELECT relation, lower(trim(to_id, e' \\t')) AS to_id FROM code_relations WHERE relation IS NOT NULL AND trim(to_id, e' \\t') <> ''
   GROUP BY 1, 2 HAVING 50 * count(*) >= (SELECT count(*) FROM code_relations)"""
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p5_found": p5_found, "p5_keys": p5_keys}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p5_found": p5_found, "p5_keys": p5_keys}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}
