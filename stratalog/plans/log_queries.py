@@ -200,6 +200,6 @@ SQL = {
         FROM log l LEFT JOIN r ON r.layer = l.layer AND (r.source = l.produced_by OR r.source = split_part(l.produced_by, ':', 1)) GROUP BY 1, 2, 3)
       SELECT layer, source, CASE a WHEN 3 THEN 'reject' WHEN 1 THEN 'commit' ELSE 'proposal' END AS route, count(*) AS n FROM w GROUP BY 1, 2, 3""",
     "stream_tail_filter": f"SELECT DISTINCT seq, layer, kind FROM kernel_events WHERE layer IN ({_IN(LAYERS)}) AND kind IN ({_IN(KINDS)})",
-    "stream_sequence": "SELECT count(*) AS n, 1 AS first_seq, count(*) AS last_seq, count(*) AS n_distinct FROM kernel_events",
+    "stream_sequence": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_seq, count(*) AS last_seq, count(*) AS n_distinct FROM kernel_events",
 }
 QUERIES = {k: globals()[k] for k in SQL}
