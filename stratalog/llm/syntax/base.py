@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 
 #: End of input, and a token that no language has.
 END, WRONG = "\0", "\1"
-#: Accepted statement shapes kept per language; the table is emptied when full.
-MOST_SHAPES = 200_000
+#: Accepted statement shapes kept per language, and the longest kept, in tokens; the table is emptied when full.
+MOST_SHAPES, LONGEST_SHAPE = 200_000, 400
 #: Nesting that a parse may reach (Python frames).
 DEPTH = 20_000
 
@@ -60,9 +60,10 @@ class Kinds(dict):
 
 class Shapes(set):
     def keep(self, shape: str) -> None:
-        if len(self) > MOST_SHAPES:
-            self.clear()
-        self.add(shape)
+        if len(shape) <= LONGEST_SHAPE:
+            if len(self) > MOST_SHAPES:
+                self.clear()
+            self.add(shape)
 
 
 class Parser:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
-from .base import END, WRONG, Bad, Kinds, Parser, Shapes
+from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes
 
 # reserved words; the others (of, as, type, ...) are names that the grammar knows by context
 _WORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let static async of as from get set type interface namespace module declare abstract readonly public private protected override implements keyof infer is asserts satisfies unique accessor target meta constructor using package"
@@ -223,7 +223,7 @@ class Ecma(Parser):
                 return
             start = self.p
             stop = s.find(";", start) + 1
-            key = ctx + s[start:stop] if stop and stop - start < 400 else ""
+            key = ctx + s[start:stop] if 0 < stop - start < LONGEST_SHAPE else ""
             if key and key in self.shapes:
                 # what was accepted without line ends in mind; only a break behind return and the like changes that
                 self.p = stop

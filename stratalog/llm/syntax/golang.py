@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, WRONG, Bad, Kinds, Parser, Shapes
+from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes
 
 _ESC = r"\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
 _WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
@@ -233,7 +233,7 @@ class Go(Parser):
                 return
             start = self.p
             stop = s.find(";", start) + 1
-            if stop and s[start:stop] in SHAPES:
+            if 0 < stop - start <= LONGEST_SHAPE and s[start:stop] in SHAPES:
                 self.p = stop
                 continue
             try:
@@ -323,7 +323,7 @@ class Go(Parser):
     def if_(self) -> None:
         s = self.s
         stop = s.find("{", self.p) + 1
-        if stop and s[self.p : stop] in SHAPES:
+        if 0 < stop - self.p <= LONGEST_SHAPE and s[self.p : stop] in SHAPES:
             self.p = stop - 1
         else:
             start = self.p
@@ -347,7 +347,7 @@ class Go(Parser):
     def for_(self) -> None:
         s = self.s
         stop = s.find("{", self.p) + 1
-        if stop and s[self.p : stop] in SHAPES:
+        if 0 < stop - self.p <= LONGEST_SHAPE and s[self.p : stop] in SHAPES:
             self.p = stop - 1
             return self.block()
         start = self.p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, MOST_SHAPES, WRONG, Bad, Kinds, Parser
+from .base import END, LONGEST_SHAPE, MOST_SHAPES, WRONG, Bad, Kinds, Parser
 
 _WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 _OPS = "**= //= >>= <<= ... ** // >> << <= >= == != -> := += -= *= /= %= &= |= ^= @= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; = !"
@@ -808,9 +808,10 @@ def shape(s: str) -> str:
     if what is None:
         p = Line(s)
         what = p.line()
-        if len(SHAPES) > MOST_SHAPES:
-            SHAPES.clear()
-        SHAPES[s] = what
+        if len(s) <= LONGEST_SHAPE:
+            if len(SHAPES) > MOST_SHAPES:
+                SHAPES.clear()
+            SHAPES[s] = what
     return what
 
 
