@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from .lexer import DslError, Token, tokens, unquote
 
+#: Fixed value: the answer to a source with rules.
 NO_RULES = "datalog rules deferred to P3; v0 supports selector/flow/query/import only"
 
 

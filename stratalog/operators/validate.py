@@ -11,6 +11,11 @@ from .entities import lookup_suffix
 from .overlay import resolve
 
 
+#: Fixed values of a finding.
+KIND, SEVERITY, ENTITY_KIND, EVIDENCE = "flow_unreviewed", "medium", "code.core:Function", "flow_touched_without_ack"
+DETAIL = "touched flow-scoped function %s without acknowledging flow %s"
+
+
 def touched(diffs: DataFrame, entities: DataFrame, mode: str = "strict") -> DataFrame:
     """Per diff the entities whose headers it adds: diff_id, qualified_name, id."""
     names = function_names(hunks(diffs)).select("diff_id", "name").distinct()
@@ -26,14 +31,14 @@ def findings(touched_by: DataFrame, flows: DataFrame, resolved: DataFrame, diff_
     scoped = flows.where(F.coalesce("scope", F.lit("")) != "").select(F.col("name").alias("flow"), F.col("scope").alias("name"))
     bound = resolved.where("outcome = 'bound'").select("name", "qualified_name", "entity_id")
     hit = scoped.join(bound, "name").join(touched_by, "qualified_name")
-    detail = F.format_string("touched flow-scoped function %s without acknowledging flow %s", "qualified_name", "flow")
+    detail = F.format_string(DETAIL, "qualified_name", "flow")
     return hit.select(
         "diff_id",
         ids.finding_id(diff_text, "flow", "qualified_name").alias("id"),
-        F.lit("flow_unreviewed").alias("kind"),
-        F.lit("medium").alias("severity"),
-        F.struct(F.lit("code.core:Function").alias("entity_kind"), "entity_id", "qualified_name", "flow").alias("subject"),
-        F.array(F.struct(F.lit("flow_touched_without_ack").alias("kind"), detail.alias("detail"))).alias("evidence"),
+        F.lit(KIND).alias("kind"),
+        F.lit(SEVERITY).alias("severity"),
+        F.struct(F.lit(ENTITY_KIND).alias("entity_kind"), "entity_id", "qualified_name", "flow").alias("subject"),
+        F.array(F.struct(F.lit(EVIDENCE).alias("kind"), detail.alias("detail"))).alias("evidence"),
         F.create_map().cast("map<string,string>").alias("repair"),
     )
 
