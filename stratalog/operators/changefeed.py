@@ -55,6 +55,14 @@ def gaps(places: DataFrame, place: str = "place") -> DataFrame:
     return p.where(F.col("__p") > F.col("__was") + 1).select((F.col("__was") + 1).alias("gap_from"), (F.col("__p") - 1).alias("gap_to"))
 
 
+def held_watermark(places: DataFrame, hold: int, place: str = "place") -> DataFrame:
+    """One row ``watermark`` of a log that grows: a gap is waited for until ``hold`` places lie behind it, then it is closed. The last
+    place before the first gap that is still waited for, or the last place; null for an empty log."""
+    last = places.agg(F.max(F.col(place).cast("long")).alias("last"))
+    open_gaps = gaps(places, place).where(F.col("gap_to") > last.scalar() - hold)
+    return open_gaps.agg(F.min("gap_from").alias("g")).select(F.coalesce(F.col("g") - 1, last.scalar()).alias("watermark"))
+
+
 def transactions(changes: DataFrame, place: str = "place", tx: str = "tx") -> DataFrame:
     """``tx``, ``first_place``, ``commit_place``, ``n_changes`` (distinct places). A change with a null or empty tx is a
     transaction of its own and has no row here."""

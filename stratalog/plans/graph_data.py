@@ -120,13 +120,17 @@ def p2_gaps(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.gaps(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place")))
 
 
+#: Places that must lie behind a gap in the log before it counts as closed.
+HOLD = 1000
+
+
 def p2_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """State at the contiguous watermark of a log that may still grow, counted from its first seq, per layer."""
+    """State of a log that still grows: at the watermark before the first gap that may yet fill, without open transactions."""
     ev = table(spark, d, "kernel_events")
-    places = cut(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place"), "seq"))
-    upto = changefeed.watermark(places, start=1).scalar()
+    places = cut(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place")).distinct())
+    upto = changefeed.held_watermark(places, HOLD).scalar()
     state = changefeed.fold_changes(changefeed.visible(subject_changes(spark, d), upto), ["subject_layer", "subject_id"])
-    return state.groupBy("subject_layer").agg(F.count(F.lit(1)).alias("n_alive"), F.max("last_place").alias("last_seq"))
+    return state.withColumnRenamed("last_place", "last_seq")
 
 
 _PLACES_SQL = """places AS (SELECT *, coalesce(TRY_CAST(trim(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.replay_of') END) AS BIGINT), seq) AS place FROM kernel_events),
@@ -138,6 +142,13 @@ P2_FOUND_SQL = f"""WITH {_PLACES_SQL},
   w AS (SELECT *, max(CASE WHEN op = 'd' THEN place END) OVER k AS last_del FROM o WINDOW k AS (PARTITION BY subject_layer, subject_id)),
   f AS (SELECT *, min(CASE WHEN op = 'i' THEN place END) OVER k AS first_ins FROM w WHERE place > coalesce(last_del, -1) WINDOW k AS (PARTITION BY subject_layer, subject_id))
   SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
+P2_WATERMARK_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM places WHERE place IS NOT NULL), n AS (SELECT place, lead(place) OVER (ORDER BY place) AS nx FROM p),
+  wm AS (SELECT coalesce((SELECT min(place) FROM n WHERE nx > place + 1 AND nx - 1 > (SELECT max(place) FROM p) - {HOLD}), (SELECT max(place) FROM p)) AS w),
+  tr AS (SELECT tx FROM ch WHERE tx <> '' GROUP BY tx HAVING min(place) <= (SELECT w FROM wm) AND max(place) > (SELECT w FROM wm)),
+  o AS (SELECT DISTINCT subject_layer, subject_id, place, op FROM ch WHERE place <= (SELECT w FROM wm) AND coalesce(tx, '') NOT IN (SELECT tx FROM tr)),
+  w AS (SELECT *, max(CASE WHEN op = 'd' THEN place END) OVER k AS last_del FROM o WINDOW k AS (PARTITION BY subject_layer, subject_id)),
+  f AS (SELECT *, min(CASE WHEN op = 'i' THEN place END) OVER k AS first_ins FROM w WHERE place > coalesce(last_del, -1) WINDOW k AS (PARTITION BY subject_layer, subject_id))
+  SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
 P2_GAPS_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM places WHERE place IS NOT NULL), n AS (SELECT place, lead(place) OVER (ORDER BY place) AS nx FROM p)
   SELECT place + 1 AS gap_from, nx - 1 AS gap_to FROM n WHERE nx > place + 1"""
 
@@ -178,4 +189,4 @@ P5_FOUND_SQL = """SELECT relation, lower(trim(to_id, e' \\t')) AS to_id FROM cod
   GROUP BY 1, 2 HAVING 50 * count(*) >= (SELECT count(*) FROM code_relations)"""
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p5_found": p5_found, "p5_keys": p5_keys}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p2_watermark": P2_WATERMARK_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}

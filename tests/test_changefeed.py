@@ -56,6 +56,13 @@ def test_watermark_and_gaps(spark):
     assert rows(cf.gaps(p([]))) == rows(cf.gaps(p([4]))) == []
 
 
+def test_gaps_are_held_for_a_while(spark):
+    p = spark.createDataFrame([(x,) for x in (1, 2, 4, 5, 6, 9, 10)], "place long")
+    held = lambda df, n: cf.held_watermark(df, n).first()[0]
+    assert (held(p, 100), held(p, 5), held(p, 2), held(p, 0)) == (2, 6, 10, 10)
+    assert held(p.limit(0), 5) is None
+
+
 def test_open_transactions_are_held(spark):
     changes = [("a", 1, "insert", "t1"), ("b", 2, "insert", "t2"), ("a", 3, "update", "t1"), ("c", 5, "insert", "t2"), ("d", 6, "insert", None)]
     df = spark.createDataFrame(changes, SCHEMA)
