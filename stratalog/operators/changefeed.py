@@ -56,8 +56,9 @@ def gaps(places: DataFrame, place: str = "place") -> DataFrame:
 
 
 def held_watermark(places: DataFrame, hold: int, place: str = "place") -> DataFrame:
-    """One row ``watermark`` of a log that grows: a gap is waited for until ``hold`` places lie behind it, then it is closed. The last
-    place before the first gap that is still waited for, or the last place; null for an empty log."""
+    """One row ``watermark`` of a log that grows, as an extension: a gap is waited for until ``hold`` places lie behind it, then it is
+    closed. The last place before the first gap that is still waited for, or the last place; null for an empty log. What comes later
+    than ``hold`` places is missing from the state there; ``watermark`` waits for every place."""
     last = places.agg(F.max(F.col(place).cast("long")).alias("last"))
     open_gaps = gaps(places, place).where(F.col("gap_to") > last.scalar() - hold)
     return open_gaps.agg(F.min("gap_from").alias("g")).select(F.coalesce(F.col("g") - 1, last.scalar()).alias("watermark"))
@@ -70,10 +71,10 @@ def transactions(changes: DataFrame, place: str = "place", tx: str = "tx") -> Da
     return t.distinct().groupBy("tx").agg(F.min("__p").alias("first_place"), F.max("__p").alias("commit_place"), F.count(F.lit(1)).alias("n_changes"))
 
 
-def visible(changes: DataFrame, upto: Column, place: str = "place", tx: str = "tx") -> DataFrame:
+def visible(changes: DataFrame, upto: Column, place: str = "place", tx: str = "tx", log: DataFrame | None = None) -> DataFrame:
     """The changes whose whole transaction lies at or before ``upto``. Only transactions that reach over ``upto`` are joined
-    back; they are the open ones."""
-    open_tx = transactions(changes, place, tx).where((F.col("commit_place") > upto) & (F.col("first_place") <= upto)).select(F.col("tx").alias(tx))
+    back; they are the open ones. log: all rows of the log, with place and tx, if ``changes`` are only some of them."""
+    open_tx = transactions(changes if log is None else log, place, tx).where((F.col("commit_place") > upto) & (F.col("first_place") <= upto)).select(F.col("tx").alias(tx))
     before = changes.where(F.col(place) <= upto)
     # changes without a transaction, often the most, take no part in the join
     in_tx = F.coalesce(F.col(tx), F.lit("")) != ""
@@ -89,14 +90,16 @@ def fold_changes(changes: DataFrame, keys: list[str], place: str = "place", op:
     return s.where(alive).select(*keys, F.greatest("__i", "__u").alias("last_place"))
 
 
-def replay(changes: DataFrame, keys: list[str], closed_log: bool = False, place: str = "place", op: str = "op", tx: str = "tx", start: int = 1, closed: DataFrame | None = None) -> DataFrame:
+def replay(changes: DataFrame, keys: list[str], closed_log: bool = False, place: str = "place", op: str = "op", tx: str = "tx", start: int = 1, closed: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """State of the table behind a feed of changes: the keys that exist, with ``last_place``.
 
     closed_log: the feed has ended, so what is missing never comes and every gap is closed; the watermark is then the last
     place, and no transaction reaches beyond it. Otherwise the state is the one at the contiguous watermark. Empty feeds
-    give an empty table.
+    give an empty table. log: all rows of the log, with place and tx, if ``changes`` are only some of them; gaps and ends of
+    transactions are those of the log.
     """
     if closed_log:
         return fold_changes(changes, keys, place, op)
-    upto = watermark(changes, place, start, closed).scalar()
-    return fold_changes(visible(changes, upto, place, tx), keys, place, op)
+    log = changes if log is None else log
+    upto = watermark(log, place, start, closed).scalar()
+    return fold_changes(visible(changes, upto, place, tx, log), keys, place, op)

@@ -120,12 +120,24 @@ def p2_gaps(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.gaps(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place")))
 
 
+def log_places(spark: SparkSession, d: str) -> DataFrame:
+    """place and tx of all rows of the log, whatever they are about."""
+    return cut(table(spark, d, "kernel_events").select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place"), "tx").distinct())
+
+
+def p2_contiguous(spark: SparkSession, d: str) -> DataFrame:
+    """State of a log that still grows: at the contiguous watermark, without open transactions. No place is declared lost."""
+    s = changefeed.replay(subject_changes(spark, d), ["subject_layer", "subject_id"], log=log_places(spark, d))
+    return s.withColumnRenamed("last_place", "last_seq")
+
+
 #: Places that must lie behind a gap in the log before it counts as closed.
 HOLD = 1000
 
 
 def p2_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """State of a log that still grows: at the watermark before the first gap that may yet fill, without open transactions."""
+    """An extension, timed by places: the state at the watermark before the first gap with less than HOLD places behind it, without
+    transactions of which a change lies behind it. A change that comes later than that is missing; see p2_contiguous."""
     ev = table(spark, d, "kernel_events")
     places = cut(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place")).distinct())
     upto = changefeed.held_watermark(places, HOLD).scalar()
@@ -149,6 +161,13 @@ P2_WATERMARK_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM plac
   w AS (SELECT *, max(CASE WHEN op = 'd' THEN place END) OVER k AS last_del FROM o WINDOW k AS (PARTITION BY subject_layer, subject_id)),
   f AS (SELECT *, min(CASE WHEN op = 'i' THEN place END) OVER k AS first_ins FROM w WHERE place > coalesce(last_del, -1) WINDOW k AS (PARTITION BY subject_layer, subject_id))
   SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
+P2_CONTIGUOUS_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT place FROM places WHERE place >= 1 UNION SELECT 0),
+  wm AS (SELECT min(place) AS w FROM p WHERE place + 1 NOT IN (SELECT place FROM p)),
+  tr AS (SELECT tx FROM places WHERE tx <> '' GROUP BY tx HAVING min(place) <= (SELECT w FROM wm) AND max(place) > (SELECT w FROM wm)),
+  o AS (SELECT DISTINCT subject_layer, subject_id, place, op FROM ch WHERE place <= (SELECT w FROM wm) AND coalesce(tx, '') NOT IN (SELECT tx FROM tr)),
+  w AS (SELECT *, max(CASE WHEN op = 'd' THEN place END) OVER k AS last_del FROM o WINDOW k AS (PARTITION BY subject_layer, subject_id)),
+  f AS (SELECT *, min(CASE WHEN op = 'i' THEN place END) OVER k AS first_ins FROM w WHERE place > coalesce(last_del, -1) WINDOW k AS (PARTITION BY subject_layer, subject_id))
+  SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
 P2_GAPS_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM places WHERE place IS NOT NULL), n AS (SELECT place, lead(place) OVER (ORDER BY place) AS nx FROM p)
   SELECT place + 1 AS gap_from, nx - 1 AS gap_to FROM n WHERE nx > place + 1"""
 
@@ -188,5 +207,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 P5_FOUND_SQL = """SELECT relation, lower(trim(to_id, e' \\t')) AS to_id FROM code_relations WHERE relation IS NOT NULL AND trim(to_id, e' \\t') <> ''
   GROUP BY 1, 2 HAVING 50 * count(*) >= (SELECT count(*) FROM code_relations)"""
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p5_found": p5_found, "p5_keys": p5_keys}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p2_watermark": P2_WATERMARK_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p2_contiguous": p2_contiguous, "p5_found": p5_found, "p5_keys": p5_keys}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p2_watermark": P2_WATERMARK_SQL, "p2_contiguous": P2_CONTIGUOUS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}

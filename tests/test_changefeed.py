@@ -71,3 +71,23 @@ def test_open_transactions_are_held(spark):
     closed = spark.createDataFrame([(4,)], "place long")
     assert rows(cf.replay(df, ["k"], closed=closed)) == [("a", 3), ("b", 2), ("c", 5), ("d", 6)]
     assert rows(cf.transactions(df)) == [("t1", 1, 3, 2), ("t2", 2, 5, 2)]
+
+
+def test_ends_of_transactions_are_those_of_the_log(spark):
+    # t1 ends behind the gap at 3 with an event that changes nothing
+    changes = spark.createDataFrame([("a", 1, "insert", "t1"), ("b", 2, "insert", None)], SCHEMA)
+    log = changes.select("place", "tx").unionByName(spark.createDataFrame([(4, "t1")], "place long, tx string"))
+    assert rows(cf.replay(changes, ["k"], log=log)) == [("b", 2)]
+    closed = spark.createDataFrame([(3,)], "place long")
+    assert rows(cf.replay(changes, ["k"], closed=closed, log=log)) == [("a", 1), ("b", 2)]
+
+
+def test_state_of_a_growing_log_waits_for_every_gap(spark, tmp_path):
+    from stratalog.plans import catalog
+
+    event = lambda seq: (seq, "EntityMaterialized", "code.core", f"e{seq}", None, "")
+    log = [event(n) for n in (1, 2, *range(4, 3000))]
+    for d, sent, last in ((tmp_path / "early", log, 2), (tmp_path / "late", [*log, event(3)], 2999)):
+        spark.createDataFrame(sent, "seq long, kind string, subject_layer string, subject_id string, payload string, tx string").write.parquet(f"{d}/kernel_events.parquet")
+        got = catalog.queries()["p2_contiguous"](spark, str(d))
+        assert rows(got.select("last_seq")) == [(n,) for n in sorted(range(1, last + 1), key=lambda n: repr((n,)))]
