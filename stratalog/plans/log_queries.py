@@ -35,11 +35,24 @@ def event_read_all(spark, d):
     return ev.read_all(_log(spark, d)).select("seq", "layer", "kind", "subject_id", "produced_by")
 
 
-def event_read_as_of(spark, d):
-    e = ev.as_of(_log(spark, d), AS_OF)
+def _end(spark: SparkSession, d: str) -> int:
+    """The last seq of the log, as a place that moves with it."""
+    return event_last_seq(spark, d).first()["last_seq"]
+
+
+def _read_as_of(spark, d, seq):
+    e = ev.as_of(_log(spark, d), seq)
     return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
 
 
+def event_read_as_of(spark, d):
+    return _read_as_of(spark, d, AS_OF)
+
+
+def event_read_as_of_end(spark, d):
+    return _read_as_of(spark, d, _end(spark, d))
+
+
 def event_filter_layer_kind(spark, d):
     return ev.matching(_log(spark, d), LAYERS, KINDS).select("seq", "layer", "kind", "subject_id")
 
@@ -86,22 +99,46 @@ def cursor_read_default(spark, d):
     return ev.read_cursors(subs, ev.write_cursors(w, "seq"))
 
 
+def _state_as_of(spark, d, seq):
+    return ev.state_as_of(_log(spark, d), seq, ["subject_layer", "subject_id"], "kind")
+
+
 def state_as_of(spark, d):
-    return ev.state_as_of(_log(spark, d), AS_OF, ["subject_layer", "subject_id"], "kind")
+    return _state_as_of(spark, d, AS_OF)
 
 
-def snapshot_layer(spark, d):
-    s = ev.snapshot(_log(spark, d), AS_OF, "code.core")
+def state_as_of_end(spark, d):
+    return _state_as_of(spark, d, _end(spark, d))
+
+
+def _snapshot_layer(spark, d, seq):
+    s = ev.snapshot(_log(spark, d), seq, "code.core")
     return s.groupBy("layer", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def snapshot_roundtrip(spark, d):
-    """A snapshot written and read again: events and sum of their seq."""
+def snapshot_layer(spark, d):
+    return _snapshot_layer(spark, d, AS_OF)
+
+
+def snapshot_layer_end(spark, d):
+    return _snapshot_layer(spark, d, _end(spark, d))
+
+
+def _snapshot_roundtrip(spark, d, seq):
     folder = scratch(spark, "snapshots")
-    name = ev.create_snapshot(_log(spark, d), folder, AS_OF, "semantic.overlay")
+    name = ev.create_snapshot(_log(spark, d), folder, seq, "semantic.overlay")
     return ev.load_snapshot(spark, folder, name).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("sum_seq"))
 
 
+def snapshot_roundtrip(spark, d):
+    """A snapshot written and read again: events and sum of their seq."""
+    return _snapshot_roundtrip(spark, d, AS_OF)
+
+
+def snapshot_roundtrip_end(spark, d):
+    return _snapshot_roundtrip(spark, d, _end(spark, d))
+
+
 def retention_floor(spark, d):
     return ev.retain(_log(spark, d), LAST_N, F.lit(SINCE).cast("timestamp")).groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
@@ -202,4 +239,7 @@ SQL = {
     "stream_tail_filter": f"SELECT DISTINCT seq, layer, kind FROM kernel_events WHERE layer IN ({_IN(LAYERS)}) AND kind IN ({_IN(KINDS)})",
     "stream_sequence": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_seq, count(*) AS last_seq, count(*) AS n_distinct FROM kernel_events",
 }
+#: The same as of the log's last seq, which grow with the log.
+AT_END = ["event_read_as_of", "state_as_of", "snapshot_layer", "snapshot_roundtrip"]
+SQL |= {f"{k}_end": SQL[k].replace(f"seq <= {AS_OF}", "seq <= (SELECT max(seq) FROM kernel_events)") for k in AT_END}
 QUERIES = {k: globals()[k] for k in SQL}

@@ -96,3 +96,16 @@ def test_fold(spark):
 def test_disagreement(spark):
     f = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("c", None), ("c", "q")], "k string, v string")
     assert rows(provenance.disagreement(f, ["k"], "v")) == [("a", 2, "x", "y")]
+
+
+def test_as_of_the_end_reads_the_whole_log(spark, tmp_path):
+    from stratalog.plans import log_queries
+
+    log = [(n, layer, "K", layer, f"s{n}", None) for n in range(1, 6001) for layer in [("code.core", "semantic.overlay")[n % 2]]]
+    df = spark.createDataFrame(log, "seq long, layer string, kind string, subject_layer string, subject_id string, payload string")
+    df.write.parquet(f"{tmp_path}/kernel_events.parquet")
+    q = lambda name: log_queries.QUERIES[name](spark, str(tmp_path))
+    assert rows(q("event_read_as_of_end")) == [("K", 6000, 6000)]
+    assert q("state_as_of_end").count() == 6000
+    assert rows(q("snapshot_layer_end")) == [("code.core", "K", 3000, 2, 6000)]
+    assert rows(q("snapshot_roundtrip_end")) == [(3000, sum(range(1, 6001, 2)))]
