@@ -17,8 +17,8 @@ from ..session import table
 from .syntax import check_source, language_of
 
 SCHEMA = "file_id long, repo string, path string, language string, n_errors int, first_line int, first_cause string, errors array<struct<line:int,cause:string>>"
-#: Errors of one file that are kept with their text; n_errors counts all.
-MOST_KEPT = 1000
+#: Errors and files sent on at once, at most, but for a file that has more errors.
+SENT_ERRORS, SENT_FILES = 20_000, 10_000
 
 
 ERRORS = pa.list_(pa.struct([("line", pa.int32()), ("cause", pa.string())]))
@@ -27,14 +27,22 @@ COLUMNS = {"file_id": pa.int64(), "repo": pa.string(), "path": pa.string(), "lan
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
+        rows, n_errors = [], 0
         for file_id, repo, path, language_id, content in zip(*(c.to_pylist() for c in b.columns)):
             language = language_of(language_id, path)
             found = check_source(language, content).found if language else []
+            if rows and (n_errors + len(found) > SENT_ERRORS or len(rows) == SENT_FILES):
+                yield _batch(rows)
+                rows, n_errors = [], 0
             first = found[0] if found else (None, None)
-            rows.append((file_id, repo, path, language, len(found), *first, [{"line": n, "cause": c} for n, c in found[:MOST_KEPT]]))
-        columns = list(zip(*rows)) or [()] * len(COLUMNS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, COLUMNS.values())], list(COLUMNS))
+            rows.append((file_id, repo, path, language, len(found), *first, [{"line": n, "cause": c} for n, c in found]))
+            n_errors += len(found)
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, COLUMNS.values())], list(COLUMNS))
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
@@ -57,7 +65,9 @@ def acceptance(parsed: DataFrame) -> DataFrame:
 
 
 def p4_errors(spark: SparkSession, d: str) -> DataFrame:
-    return parse_errors(table(spark, d, "parsed_files")).where("n_errors > 0").select("file_id", "language", "n_errors", "first_line", "first_cause").distinct()
+    """One row per error, ``ord`` from 0 in the order of the file; the one of ord 0 is its cause."""
+    e = parse_errors(table(spark, d, "parsed_files")).select("file_id", "language", "n_errors", F.posexplode("errors").alias("ord", "e"))
+    return e.select("file_id", "language", "n_errors", "ord", "e.line", "e.cause").distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

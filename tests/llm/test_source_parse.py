@@ -30,3 +30,11 @@ def test_rows_and_rates(spark):
 
 def test_empty_table(spark):
     assert source_parse.parse_errors(files(spark)).count() == 0
+
+
+def test_every_error_is_given(spark, tmp_path):
+    bad = "".join(f"x{n} = = {n}\n" for n in range(1500))
+    files(spark, (1, "r", "r/a.py", "python", bad), (1, "r", "r/a.py", "python", bad), (2, "r", "r/b.py", "python", "x = 1\n"), (3, "r", "r/c.json", "json", "{")).write.parquet(f"{tmp_path}/parsed_files.parquet")
+    got = source_parse.p4_errors(spark, str(tmp_path))
+    assert sorted(r["line"] for r in got.where("file_id = 1").collect()) == list(range(1, 1501))
+    assert rows(got.groupBy("file_id").agg({"ord": "max", "n_errors": "max"}).select("file_id", "max(ord)", "max(n_errors)")) == [(1, 1499, 1500), (3, 0, 1)]
