@@ -31,9 +31,10 @@ def change_place(seq: Column, payload: Column, field: str = "replay_of") -> Colu
     return F.coalesce(F.trim(named).try_cast("bigint"), seq)
 
 
-def watermark(places: DataFrame, place: str = "place", start: int = 1, closed: DataFrame | None = None) -> DataFrame:
+def watermark(places: DataFrame, place: str = "place", start: int = 1, closed: DataFrame | None = None, closed_ranges: DataFrame | None = None) -> DataFrame:
     """One row ``watermark``: the last place w so that start..w are all in ``places`` or in ``closed`` (a table with the
     same column of places known to be lost). ``start - 1`` if the first one is missing, null places do not count.
+    closed_ranges: ranges of lost places as ``gaps`` gives them; none of them may hold a known place.
 
     Every place with no successor ends a run; the watermark is the first such end at or after ``start``. Found by one
     anti-join on the place, so no task ever sees the whole order.
@@ -44,8 +45,10 @@ def watermark(places: DataFrame, place: str = "place", start: int = 1, closed: D
     p = p.distinct()
     # start - 1 stands for the state before the first change
     base = places.sparkSession.range(start - 1, start).select(F.col("id").alias("__p"))
-    p = p.unionByName(base)
-    ends = p.join(p.select((F.col("__p") - 1).alias("__p")), "__p", "left_anti")
+    p = p.unionByName(base).withColumn("__from", F.col("__p"))
+    if closed_ranges is not None:
+        p = p.unionByName(closed_ranges.where(F.col("gap_to") >= start).select(F.col("gap_to").alias("__p"), F.greatest("gap_from", F.lit(start)).alias("__from")))
+    ends = p.join(p.select((F.col("__from") - 1).alias("__p")), "__p", "left_anti")
     return ends.agg(F.min("__p").alias("watermark"))
 
 
@@ -93,13 +96,15 @@ def fold_changes(changes: DataFrame, keys: list[str], place: str = "place", op:
 def replay(changes: DataFrame, keys: list[str], closed_log: bool = False, place: str = "place", op: str = "op", tx: str = "tx", start: int = 1, closed: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """State of the table behind a feed of changes: the keys that exist, with ``last_place``.
 
-    closed_log: the feed has ended, so what is missing never comes and every gap is closed; the watermark is then the last
-    place, and no transaction reaches beyond it. Otherwise the state is the one at the contiguous watermark. Empty feeds
+    closed_log: the feed has ended, so what is missing never comes: it begins at its first place and each of its gaps is declared
+    closed. Its watermark comes out as the last place, and no transaction reaches beyond it. Otherwise the state is the one at the contiguous watermark. Empty feeds
     give an empty table. log: all rows of the log, with place and tx, if ``changes`` are only some of them; gaps and ends of
     transactions are those of the log.
     """
-    if closed_log:
-        return fold_changes(changes, keys, place, op)
     log = changes if log is None else log
-    upto = watermark(log, place, start, closed).scalar()
+    lost = None
+    if closed_log:
+        first = log.agg(F.min(F.col(place).cast("long"))).first()[0]
+        start, closed, lost = 1 if first is None else first, None, gaps(log, place)
+    upto = watermark(log, place, start, closed, lost).scalar()
     return fold_changes(visible(changes, upto, place, tx, log), keys, place, op)

@@ -110,7 +110,7 @@ def subject_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """State at the end of the log: the feed is closed, its gaps never fill."""
-    s = changefeed.replay(subject_changes(spark, d), ["subject_layer", "subject_id"], closed_log=True)
+    s = changefeed.replay(subject_changes(spark, d), ["subject_layer", "subject_id"], closed_log=True, log=log_places(spark, d))
     return s.withColumnRenamed("last_place", "last_seq")
 
 

@@ -91,3 +91,17 @@ def test_state_of_a_growing_log_waits_for_every_gap(spark, tmp_path):
         spark.createDataFrame(sent, "seq long, kind string, subject_layer string, subject_id string, payload string, tx string").write.parquet(f"{d}/kernel_events.parquet")
         got = catalog.queries()["p2_contiguous"](spark, str(d))
         assert rows(got.select("last_seq")) == [(n,) for n in sorted(range(1, last + 1), key=lambda n: repr((n,)))]
+
+
+def test_closed_log_goes_by_its_watermark(spark, monkeypatch):
+    p = lambda xs: spark.createDataFrame([(x,) for x in xs], "place long")
+    ranges = lambda *xs: spark.createDataFrame(xs, "gap_from long, gap_to long")
+    mark = lambda xs, **k: cf.watermark(p(xs), **k).first()[0]
+    assert mark([1, 2, 5, 6, 1 << 60], closed_ranges=ranges((3, 4), (7, (1 << 60) - 1))) == 1 << 60
+    assert mark([1, 2, 5, 6, 9], closed_ranges=ranges((3, 4))) == 6
+    assert mark([5, 6], start=3, closed_ranges=ranges((1, 4))) == 6
+    seen = []
+    monkeypatch.setattr(cf, "watermark", lambda *a, was=cf.watermark: seen.append(was(*a)) or seen[-1])
+    df = spark.createDataFrame([("a", -3, "insert", "t1"), ("b", 2, "insert", None), ("a", 9, "update", "t1")], SCHEMA)
+    assert rows(cf.replay(df, ["k"], closed_log=True)) == [("a", 9), ("b", 2)]
+    assert [w.first()[0] for w in seen] == [9]
