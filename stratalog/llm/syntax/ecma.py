@@ -215,7 +215,7 @@ class Ecma(Parser):
             self.p += 1
 
     def statements(self) -> None:
-        s = self.s
+        s, nl = self.s, self.nl
         ctx = self.ctx()
         while True:
             c = s[self.p]
@@ -224,8 +224,10 @@ class Ecma(Parser):
             start = self.p
             stop = s.find(";", start) + 1
             key = ctx + s[start:stop] if 0 < stop - start < LONGEST_SHAPE else ""
+            if key and not nl.isdisjoint(range(start + 1, stop)):
+                # a line end within may end a statement or be forbidden, so its place counts
+                key += "".join([chr(i - start) for i in range(start + 1, stop) if i in nl])
             if key and key in self.shapes:
-                # what was accepted without line ends in mind; only a break behind return and the like changes that
                 self.p = stop
                 continue
             try:

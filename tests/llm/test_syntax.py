@@ -72,6 +72,15 @@ def test_order_of_shapes_does_not_matter():
     assert not check_source("go", "package p\nfunc f() {\n\tif a := b(); a {\n\t}\n}\n").found
 
 
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_line_ends_count_in_remembered_shapes(language):
+    for good, bad in (("throw x;", "throw\nx;"), ("f((a) => b);", "f((a)\n=> b);"), ("a++;", "a\n++;")):
+        assert not check_source(language, good).found
+        assert check_source(language, bad).found, bad
+        assert not check_source(language, good).found
+    assert not check_source(language, "f(\n  a,\n  b);\nf(\n  a,\n  b);").found
+
+
 def test_line_ends_marks_and_null():
     for text in ("def f():\r\n    return 1\r\n", "﻿x = 1\n", "x = 1\r\r\n"):
         assert not check_source("python", text).found
