@@ -22,9 +22,18 @@ class Bad(Exception):
         self.at, self.what = at, what
 
 
+class TooDeep(Exception):
+    """Nested deeper than DEPTH: the errors, as (line, cause), that were found all the same."""
+
+    def __init__(self, found: list[tuple[int, str]]):
+        super().__init__("nested too deeply")
+        self.found = found
+
+
 @dataclass
 class Errors:
-    """All errors of a text as (line, cause), in order; too_deep: nested deeper than can be judged, which is no error."""
+    """All errors of a text as (line, cause), in order; too_deep: nested deeper than DEPTH, which is no error. JSON is judged at any depth;
+    of other texts the brackets are, and what stands before the place that is too deep."""
 
     found: list[tuple[int, str]] = field(default_factory=list)
     too_deep: bool = False
@@ -66,6 +75,18 @@ class Shapes(set):
             self.add(shape)
 
 
+def unbalanced(s: str) -> Bad | None:
+    """The first token at which the brackets among the kinds ``s`` do not match, at any depth."""
+    stack: list[str] = []
+    for m in re.finditer(r"[()\[\]{}]", s):
+        c = m[0]
+        if c in Parser.open:
+            stack.append(Parser.close[Parser.open.index(c)])
+        elif not stack or stack.pop() != c:
+            return Bad(m.start(), f"unexpected {c}")
+    return Bad(len(s.rstrip(END)), f"unexpected the end, expected {stack[-1]}") if stack else None
+
+
 class Parser:
     """s: kinds of the tokens, ended by END. p: the next token."""
 
@@ -96,6 +117,17 @@ class Parser:
     def record(self, e: Bad) -> None:
         self.errors.append((e.at, e.what))
 
+    def judged(self, run) -> bool:
+        """Runs the parse; False if it got too deep. The brackets behind the errors found until then are judged without it."""
+        try:
+            run()
+            return True
+        except RecursionError:
+            e = unbalanced(self.s)
+            if e and all(at < e.at for at, _ in self.errors):
+                self.record(e)
+            return False
+
     def sync(self, semi: str) -> None:
         """Panic mode: skip to behind the next statement end on this level, or to the bracket that ends the level."""
         s, p, depth = self.s, self.p, 0
@@ -143,5 +175,7 @@ def check_source(language: str, text: str | None) -> Errors:
     parse = {"go": golang.parse, "python": python3.parse, "javascript": ecma.parse_js, "typescript": ecma.parse_ts, "json": json_text.parse}[language]
     try:
         return Errors(parse(text))
+    except TooDeep as e:
+        return Errors(e.found, too_deep=True)
     except RecursionError:
         return Errors(too_deep=True)

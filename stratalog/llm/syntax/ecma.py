@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from itertools import accumulate
 
-from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes
+from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes, TooDeep
 
 # reserved words; the others (of, as, type, ...) are names that the grammar knows by context
 _WORDS = "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with yield await let static async of as from get set type interface namespace module declare abstract readonly public private protected override implements keyof infer is asserts satisfies unique accessor target meta constructor using package"
@@ -1369,15 +1369,18 @@ def _parse(text: str, ts: bool) -> list[tuple[int, str]]:
         text = "//" + text
     s, nl = kinds_of(text)
     p = Ecma(s, nl, ts)
-    p.file()
-    if not p.errors:
+    whole = p.judged(p.file)
+    if whole and not p.errors:
         return []
     # places, once more and slowly
     starts: list[int] = []
     slow = NESTED in "".join(map(K.__getitem__, TOKEN.findall(text)))
     for m in TOKEN.finditer(text):
         starts += [m.start()] * len(K[m[0]].replace("\n", ""))
-    return [(text.count("\n", 0, starts[at] if at < len(starts) else len(text)) + 1 if not slow else 0, what) for at, what in p.errors]
+    found = [(text.count("\n", 0, starts[at] if at < len(starts) else len(text)) + 1 if not slow else 0, what) for at, what in p.errors]
+    if not whole:
+        raise TooDeep(found)
+    return found
 
 
 def parse_js(text: str) -> list[tuple[int, str]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes
+from .base import END, LONGEST_SHAPE, WRONG, Bad, Kinds, Parser, Shapes, TooDeep
 
 _ESC = r"\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
 _WORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
@@ -594,8 +594,11 @@ class Go(Parser):
 
 def parse(text: str) -> list[tuple[int, str]]:
     p = Go(lex(text))
-    p.file()
-    return [(line_of(text, at), what) for at, what in p.errors]
+    whole = p.judged(p.file)
+    found = [(line_of(text, at), what) for at, what in p.errors]
+    if not whole:
+        raise TooDeep(found)
+    return found
 
 
 def line_of(text: str, at: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, WRONG, Bad, Kinds, Parser
+from .base import DEPTH, END, WRONG, Bad, Kinds, Parser, TooDeep
 
 TOKEN = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|[a-zA-Z_]+|[\[\]{},:]|[^ \t\r\n]', re.A)
 
@@ -24,32 +24,43 @@ K.update(K.names)
 class Json(Parser):
     kinds = K
 
+    deepest = 0
+
     def value(self) -> None:
-        s, c = self.s, self.s[self.p]
-        if c in "SNW":
-            self.p += 1
-        elif c == "{":
-            self.p += 1
-            if not self.eat("}"):
-                while True:
-                    self.need("S")
-                    self.need(":")
-                    self.value()
-                    if s[self.p] != ",":
-                        break
-                    self.p += 1
-                self.need("}")
-        elif c == "[":
-            self.p += 1
-            if not self.eat("]"):
-                while True:
-                    self.value()
-                    if s[self.p] != ",":
-                        break
+        """With the brackets that are open on a stack of its own, so that any depth is judged."""
+        s, stack = self.s, []
+        while True:
+            c = s[self.p]
+            if c in "SNW":
+                self.p += 1
+            elif c == "{":
+                self.p += 1
+                if not self.eat("}"):
+                    stack.append("}")
+                    self.deepest = max(self.deepest, len(stack))
+                    self.key()
+                    continue
+            elif c == "[":
+                self.p += 1
+                if not self.eat("]"):
+                    stack.append("]")
+                    self.deepest = max(self.deepest, len(stack))
+                    continue
+            else:
+                self.fail("a value")
+            while stack:
+                if s[self.p] == ",":
                     self.p += 1
-                self.need("]")
-        else:
-            self.fail("a value")
+                    if stack[-1] == "}":
+                        self.key()
+                    break
+                self.need(stack.pop())
+            else:
+                return
+
+    def key(self) -> None:
+        self.need("S")
+        self.need(":")
 
 
 def parse(text: str) -> list[tuple[int, str]]:
@@ -66,4 +77,7 @@ def parse(text: str) -> list[tuple[int, str]]:
             if p.s[p.p] in ")]}":
                 p.p += 1
     starts = [m.start() for m in TOKEN.finditer(text)] if p.errors else []
-    return [(text.count("\n", 0, starts[at] if at < len(starts) else len(text)) + 1, what) for at, what in p.errors]
+    found = [(text.count("\n", 0, starts[at] if at < len(starts) else len(text)) + 1, what) for at, what in p.errors]
+    if p.deepest >= DEPTH:
+        raise TooDeep(found)
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import END, LONGEST_SHAPE, MOST_SHAPES, WRONG, Bad, Kinds, Parser
+from .base import END, LONGEST_SHAPE, MOST_SHAPES, WRONG, Bad, Kinds, Parser, TooDeep, unbalanced
 
 _WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 _OPS = "**= //= >>= <<= ... ** // >> << <= >= == != -> := += -= *= /= %= &= |= ^= @= + - * / % @ & | ^ ~ < > ( ) [ ] { } , : . ; = !"
@@ -823,7 +823,7 @@ def parse(text: str) -> list[tuple[int, str]]:
     errors: list[tuple[int, str]] = []
     # stack of [indentation, the last statement at it as far as a clause may follow]
     stack: list[list] = [["", ""]]
-    opened = None  # the head that waits for its block
+    opened, deep = None, False  # the head that waits for its block; whether a statement is nested too deeply to be judged
     lines = s.split("\n")
     at = 0
     n, i = len(lines), 1
@@ -892,14 +892,18 @@ def parse(text: str) -> list[tuple[int, str]]:
             report(start, "a decorator without a definition")
         try:
             what = shape(code)
-        except Bad as e:
-            # the place: skip dropped tokens
-            t, seen = start, -1
-            while t < len(s) and seen < e.at:
-                if s[t] not in "\n\2":
-                    seen += 1
-                t += 1
-            report(t - 1, e.what)
+        except (Bad, RecursionError) as bad:
+            e = bad
+            if isinstance(bad, RecursionError):
+                deep, e = True, unbalanced(code)
+            if e:
+                # the place: skip dropped tokens
+                t, seen = start, -1
+                while t < len(s) and seen < e.at:
+                    if s[t] not in "\n\2":
+                        seen += 1
+                    t += 1
+                report(t - 1, e.what)
             what = first if first in (IF, ELIF, ELSE, FOR, WHILE, TRY, EXCEPT, FINALLY, WITH, DEF, CLASS) else ""
             if what and i < n:  # a broken head still opens its block
                 nxt = next((j for j in range(i, n) if lines[j].replace("\2", "")), None)
@@ -925,6 +929,8 @@ def parse(text: str) -> list[tuple[int, str]]:
     while stack:
         if stack.pop()[1] == TRY:
             report(last, "try without except or finally")
+    if deep:
+        raise TooDeep(errors)
     return errors
 
 

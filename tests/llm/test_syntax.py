@@ -99,6 +99,22 @@ def test_deep_and_long():
     assert check_source("python", "x = 1\n" * 20_000 + "y = (\n").found
 
 
+def test_errors_of_what_is_too_deep():
+    deep = check_source("json", "[" * 200_000 + "1 1" + "]" * 200_000)
+    assert deep.too_deep and deep.found
+    cut = check_source("json", "[" * 200_000)
+    assert cut.too_deep and len(cut.found) == 1
+    n, close = 30_000, 29_999
+    for language, before, text in (("javascript", "let a = ;\n", "x = {};\n"), ("typescript", "let a = ;\n", "x = {};\n"), ("python", "a = )\n", "x = {}\n"), ("go", "package p\nvar a = )\n", "var x = {}\n")):
+        good, bad = ("(" * n + "1" + ")" * k for k in (n, close))
+        start = "package p\n" if language == "go" else ""
+        e = check_source(language, start + text.format(good))
+        assert e.too_deep and not e.found, language
+        assert check_source(language, start + text.format(bad)).found, language
+        e = check_source(language, before + text.format(good))
+        assert e.too_deep and e.found[0][0] == before.count("\n"), language
+
+
 def test_languages():
     assert language_of("Go", "x.py") == "go" and language_of(None, "a/x.PY") == "python" and language_of(None, "x") is None
     assert language_of("", "x.go") is None and language_of("rust", "x.go") is None and language_of(None, None) is None
