@@ -351,8 +351,9 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
     n = rows.count()
     share = min(1.0, most / max(n, 1))
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
-    got = picked.select("doc_id", "l", F.substring("text", 1, TRAIN_CHARS).alias("text")).limit(2 * most).collect()
-    return train([(_label_table()[r["l"]], r["text"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))])
+    got = picked.select("doc_id", "l", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id", F.lit("order")).alias("h")).limit(2 * most).collect()
+    # train() takes segments up to a bound: by hash, as ids may come by language
+    return train([(_label_table()[r["l"]], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
 
 
 SCHEMA = "doc_id long, label string, runs array<struct<ord:int,lang:string,n_words:int,confidence:double>>"

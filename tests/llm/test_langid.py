@@ -118,3 +118,14 @@ def test_catalog_runs(spark):
         assert df.columns == columns
         got = rows(df)
         assert got and len({str(r) for r in got}) == len(got)
+
+
+def test_languages_that_come_late_are_trained(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_SEGMENTS", 200)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda samples: seen.extend(samples))
+    # 10 segments a document: the first 20 documents fill the bound
+    df = spark.createDataFrame([(i, text(*[x] * 10), x) for i, x in enumerate(["en"] * 100 + ["de"] * 100)], "doc_id long, text string, lang string")
+    L.fit(df)
+    assert len(seen) == 200
+    assert {x for x, _ in seen[:20]} == {"en", "de"}
