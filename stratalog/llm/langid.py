@@ -277,9 +277,9 @@ def decode(p: np.ndarray, words: np.ndarray, threshold: float) -> np.ndarray:
     best = p.argmax(axis=1)
     long = words >= LEAST_WORDS
     if (p.max(axis=1) >= threshold).all() or not long.any():
-        firm = best[long] if long.any() else best
-        if (firm == firm[0]).all():
-            return np.full(len(p), firm[0])
+        # short segments too: many of another language in a row are a passage
+        if (best == best[0]).all():
+            return np.full(len(p), best[0])
     emit = np.log(np.maximum(np.concatenate([p, np.full((len(p), 1), threshold)], axis=1), 1e-6)) * np.minimum(words / 4.0, 3.0)[:, None]
     n = len(p)
     score, came = emit[0].copy(), np.zeros((n, NONE + 1), np.int64)

@@ -107,6 +107,14 @@ def test_decode_keeps_short_changes_out():
     assert L.decode(p, np.array([9, 9, 12, 9, 9]), 0.5).tolist() == [0, 0, 1, 0, 0]
 
 
+def test_decode_finds_a_passage_of_short_segments():
+    p = np.full((12, 8), 0.01)
+    p[:, 0] = 0.93
+    p[4:8, 0], p[4:8, 1] = 0.01, 0.93
+    words = np.array([9] * 4 + [3] * 4 + [9] * 4)
+    assert L.decode(p, words, 0.5).tolist() == [0] * 4 + [1] * 4 + [0] * 4
+
+
 def test_catalog_runs(spark):
     from stratalog.llm import catalog
 
