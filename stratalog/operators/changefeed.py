@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import with_previous
+from .order import number_rows, with_previous
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
@@ -74,6 +74,16 @@ def transactions(changes: DataFrame, place: str = "place", tx: str = "tx") -> Da
     return t.distinct().groupBy("tx").agg(F.min("__p").alias("first_place"), F.max("__p").alias("commit_place"), F.count(F.lit(1)).alias("n_changes"))
 
 
+def judged_transactions(log: DataFrame, upto: Column, place: str = "place", tx: str = "tx") -> DataFrame:
+    """transactions() of all rows of a log, with ``complete`` (each place from the first to the last is in the log) and ``visible`` (it ends
+    at or before ``upto``). Places are numbered once, so that between two of them the missing ones are counted without a range join."""
+    nth = number_rows(log.select(F.col(place).alias("__p")).dropna().distinct(), ["__p"], "__rank")
+    t = transactions(log.dropna(subset=[place]), place, tx)
+    t = t.join(nth.select(F.col("__p").alias("first_place"), F.col("__rank").alias("__a")), "first_place").join(nth.select(F.col("__p").alias("commit_place"), F.col("__rank").alias("__z")), "commit_place")
+    whole = F.col("__z") - F.col("__a") == F.col("commit_place") - F.col("first_place")
+    return t.select("tx", "first_place", "commit_place", "n_changes", whole.alias("complete"), (F.col("commit_place") <= upto).alias("visible"))
+
+
 def visible(changes: DataFrame, upto: Column, place: str = "place", tx: str = "tx", log: DataFrame | None = None) -> DataFrame:
     """The changes whose whole transaction lies at or before ``upto``. Only transactions that reach over ``upto`` are joined
     back; they are the open ones. log: all rows of the log, with place and tx, if ``changes`` are only some of them."""

@@ -56,8 +56,12 @@ def find_orphans(
     if (ref_order is None) != (target_order is None):
         raise ValueError("ref_order and target_order go together")
     k = len(on)
-    out = []
+    # the masks that occur, of 2^k at most
+    there = {tuple(r[0]) for r in refs.select(F.array(*[F.col(r).isNotNull() for r, _ in on])).distinct().collect()} if k > 1 else {(True,)}
+    out = [refs.where(F.lit(False)).withColumns({first: F.lit(None).cast("long")} if first else {})]
     for present in product((True, False), repeat=k):
+        if present not in there:
+            continue
         if not any(present) or (match == "simple" and not all(present)):
             continue
         here = reduce(lambda a, b: a & b, (F.col(r).isNotNull() if p else F.col(r).isNull() for p, (r, _) in zip(present, on)))

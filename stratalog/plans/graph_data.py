@@ -70,6 +70,18 @@ def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d, "came").select(*REF, kind).distinct().groupBy("ref_table", "ref_field", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p1_declared(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods that no parsed file declares: references by the composite key (language_id, receiver, qualified_name), whose blank
+    parts are nulls, under each match rule in which partly null keys count."""
+    e = table(spark, d, "code_entities").where(F.col("kind").isin("Function", "Method"))
+    refs = e.select(norm_id("id").alias("id"), norm_id("language_id").alias("language_id"), trimmed("receiver").alias("receiver"), trimmed("qualified_name").alias("qualified_name")).distinct()
+    f = table(spark, d, "parsed_files").select(norm_id("language_id").alias("language_id"), F.explode("functions").alias("f"))
+    found = f.select("language_id", trimmed("f.receiver").alias("receiver"), trimmed("f.qualified_name").alias("qualified_name"))
+    on = [(c, c) for c in ("language_id", "receiver", "qualified_name")]
+    rules = [orphans.find_orphans(refs, found, on, rule).select(F.lit(rule).alias("rule"), "id", "language_id", "receiver", "qualified_name") for rule in ("partial", "full")]
+    return rules[0].unionByName(rules[1])
+
+
 _REFS_SQL = """
   ents AS (SELECT lower(trim(id, e' \\t')) AS id, min(created_seq) AS first FROM code_entities WHERE trim(id, e' \\t') <> '' GROUP BY 1),
   refs AS (
@@ -89,6 +101,13 @@ P1_REPORT_SQL = f"""WITH {_REFS_SQL},
 
 P1_KINDS_SQL = f"WITH {_REFS_SQL} SELECT ref_table, ref_field, kind, count(DISTINCT (ref_key, ref_value)) AS n FROM every WHERE orphan GROUP BY ALL"
 
+_KEY = lambda p: f"nullif(lower(trim({p}language_id, e' \\t')), '') AS language_id, nullif(trim({p}receiver, e' \\t'), '') AS receiver, nullif(trim({p}qualified_name, e' \\t'), '') AS qualified_name"
+P1_DECLARED_SQL = f"""WITH r AS (SELECT DISTINCT nullif(lower(trim(id, e' \\t')), '') AS id, {_KEY('')} FROM code_entities WHERE kind IN ('Function', 'Method')),
+  u AS (SELECT language_id, unnest(functions) AS f FROM parsed_files), t AS (SELECT DISTINCT {_KEY('').replace('trim(receiver', 'trim(f.receiver').replace('trim(qualified_name', 'trim(f.qualified_name')} FROM u),
+  k AS (SELECT *, language_id IS NULL OR receiver IS NULL OR qualified_name IS NULL AS some_null FROM r WHERE language_id IS NOT NULL OR receiver IS NOT NULL OR qualified_name IS NOT NULL),
+  o AS (SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE (k.language_id IS NULL OR t.language_id = k.language_id) AND (k.receiver IS NULL OR t.receiver = k.receiver) AND (k.qualified_name IS NULL OR t.qualified_name = k.qualified_name)))
+  SELECT 'partial' AS rule, id, language_id, receiver, qualified_name FROM o UNION ALL SELECT 'full', id, language_id, receiver, qualified_name FROM k WHERE some_null OR id IN (SELECT id FROM o WHERE NOT some_null)"""
+
 #: Kinds of changes, fixed by the data's definition.
 OPS = {"EntityMaterialized": "insert", "OverlayItemImported": "insert", "OverlayItemUpdated": "update", "EntitySuperseded": "delete", "OverlayItemRemoved": "delete"}
 
@@ -131,20 +150,26 @@ def p2_contiguous(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumnRenamed("last_place", "last_seq")
 
 
-#: Places that must lie behind a gap in the log before it counts as closed.
+#: Places that must lie behind a gap in the log before it counts as closed, unless given.
 HOLD = 1000
 
 
-def p2_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """An extension, timed by places: the state at the watermark before the first gap with less than HOLD places behind it, without
-    transactions of which a change lies behind it. A change that comes later than that is missing; see p2_contiguous."""
-    ev = table(spark, d, "kernel_events")
-    places = cut(ev.select(changefeed.change_place(F.col("seq"), F.col("payload")).alias("place")).distinct())
-    upto = changefeed.held_watermark(places, HOLD).scalar()
-    state = changefeed.fold_changes(changefeed.visible(subject_changes(spark, d), upto), ["subject_layer", "subject_id"])
+def p2_watermark(spark: SparkSession, d: str, hold: int = HOLD) -> DataFrame:
+    """An extension, timed by places: the state at the watermark before the first gap with less than ``hold`` places behind it, without
+    transactions of which any row lies behind it. A change that comes later than that is missing; see p2_contiguous."""
+    log = log_places(spark, d)
+    upto = changefeed.held_watermark(log, hold).scalar()
+    state = changefeed.fold_changes(changefeed.visible(subject_changes(spark, d), upto, log=log), ["subject_layer", "subject_id"])
     return state.withColumnRenamed("last_place", "last_seq")
 
 
+def p2_transactions(spark: SparkSession, d: str, hold: int = HOLD) -> DataFrame:
+    """Each transaction of the log: first and last place, rows, whether each place between them is known (complete), and whether it shows at the
+    watermark of p2_watermark (visible)."""
+    log = log_places(spark, d)
+    return changefeed.judged_transactions(log, changefeed.held_watermark(log, hold).scalar())
+
+
 _PLACES_SQL = """places AS (SELECT *, coalesce(TRY_CAST(trim(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.replay_of') END) AS BIGINT), seq) AS place FROM kernel_events),
   ch AS (SELECT trim(subject_layer, e' \\t') AS subject_layer, CASE WHEN kind LIKE 'Entity%' THEN lower(trim(subject_id, e' \\t')) ELSE trim(subject_id, e' \\t') END AS subject_id, place, tx,
     CASE WHEN kind IN ('EntityMaterialized', 'OverlayItemImported') THEN 'i' WHEN kind = 'OverlayItemUpdated' THEN 'u' ELSE 'd' END AS op
@@ -156,11 +181,15 @@ P2_FOUND_SQL = f"""WITH {_PLACES_SQL},
   SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
 P2_WATERMARK_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM places WHERE place IS NOT NULL), n AS (SELECT place, lead(place) OVER (ORDER BY place) AS nx FROM p),
   wm AS (SELECT coalesce((SELECT min(place) FROM n WHERE nx > place + 1 AND nx - 1 > (SELECT max(place) FROM p) - {HOLD}), (SELECT max(place) FROM p)) AS w),
-  tr AS (SELECT tx FROM ch WHERE tx <> '' GROUP BY tx HAVING min(place) <= (SELECT w FROM wm) AND max(place) > (SELECT w FROM wm)),
+  tr AS (SELECT tx FROM places WHERE tx <> '' GROUP BY tx HAVING min(place) <= (SELECT w FROM wm) AND max(place) > (SELECT w FROM wm)),
   o AS (SELECT DISTINCT subject_layer, subject_id, place, op FROM ch WHERE place <= (SELECT w FROM wm) AND coalesce(tx, '') NOT IN (SELECT tx FROM tr)),
   w AS (SELECT *, max(CASE WHEN op = 'd' THEN place END) OVER k AS last_del FROM o WINDOW k AS (PARTITION BY subject_layer, subject_id)),
   f AS (SELECT *, min(CASE WHEN op = 'i' THEN place END) OVER k AS first_ins FROM w WHERE place > coalesce(last_del, -1) WINDOW k AS (PARTITION BY subject_layer, subject_id))
   SELECT subject_layer, subject_id, max(place) AS last_seq FROM f WHERE place >= first_ins GROUP BY 1, 2"""
+P2_TRANSACTIONS_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT DISTINCT place FROM places WHERE place IS NOT NULL), n AS (SELECT place, lead(place) OVER (ORDER BY place) AS nx, row_number() OVER (ORDER BY place) AS nth FROM p),
+  wm AS (SELECT coalesce((SELECT min(place) FROM n WHERE nx > place + 1 AND nx - 1 > (SELECT max(place) FROM p) - {HOLD}), (SELECT max(place) FROM p)) AS w),
+  t AS (SELECT tx, min(place) AS first_place, max(place) AS commit_place, count(DISTINCT place) AS n_changes FROM places WHERE tx <> '' GROUP BY tx)
+  SELECT tx, first_place, commit_place, n_changes, z.nth - a.nth = commit_place - first_place AS complete, commit_place <= (SELECT w FROM wm) AS visible FROM t JOIN n a ON a.place = first_place JOIN n z ON z.place = commit_place"""
 P2_CONTIGUOUS_SQL = f"""WITH {_PLACES_SQL}, p AS (SELECT place FROM places WHERE place >= 1 UNION SELECT 0),
   wm AS (SELECT min(place) AS w FROM p WHERE place + 1 NOT IN (SELECT place FROM p)),
   tr AS (SELECT tx FROM places WHERE tx <> '' GROUP BY tx HAVING min(place) <= (SELECT w FROM wm) AND max(place) > (SELECT w FROM wm)),
@@ -179,16 +208,14 @@ def per_target(spark: SparkSession, d: str) -> DataFrame:
 def p5_keys(spark: SparkSession, d: str) -> DataFrame:
     """Per (relation, to_id): rows as they stand, edges (distinct edge_id), distinct callers, first and last created_seq."""
     keys = ["relation", "to_id"]
-    rel = per_target(spark, d)
-    rows = skew.salted_aggregate(
-        rel.select(*keys, "from_id", "created_seq"),
+    n = skew.salted_aggregate(
+        per_target(spark, d),
         keys,
         {"n_rows": F.count(F.lit(1)), "first_seq": F.min("created_seq"), "last_seq": F.max("created_seq")},
         {"n_rows": F.sum("n_rows"), "first_seq": F.min("first_seq"), "last_seq": F.max("last_seq")},
-        distinct="from_id",
-    ).withColumnRenamed("n_distinct", "callers")
-    edges = skew.salted_aggregate(rel.select(*keys, "edge_id"), keys, {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, distinct="edge_id")
-    return rows.join(edges.select(*keys, F.col("n_distinct").alias("edges")), keys).select(*keys, "n_rows", "edges", "callers", "first_seq", "last_seq")
+        distinct=["from_id", "edge_id"],
+    )
+    return n.select(*keys, "n_rows", F.col("n_edge_id").alias("edges"), F.col("n_from_id").alias("callers"), "first_seq", "last_seq")
 
 
 P5_KEYS_SQL = """SELECT relation, lower(trim(to_id, e' \\t')) AS to_id, count(*) AS n_rows, count(DISTINCT edge_id) AS edges,
@@ -207,5 +234,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 P5_FOUND_SQL = """SELECT relation, lower(trim(to_id, e' \\t')) AS to_id FROM code_relations WHERE relation IS NOT NULL AND trim(to_id, e' \\t') <> ''
   GROUP BY 1, 2 HAVING 50 * count(*) >= (SELECT count(*) FROM code_relations)"""
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p2_contiguous": p2_contiguous, "p5_found": p5_found, "p5_keys": p5_keys}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p2_watermark": P2_WATERMARK_SQL, "p2_contiguous": P2_CONTIGUOUS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}
+QUERIES = {"p1_declared": p1_declared, "p2_transactions": p2_transactions, "p1_found": p1_found, "p1_report": p1_report, "p1_kinds": p1_kinds, "p2_found": p2_found, "p2_gaps": p2_gaps, "p2_watermark": p2_watermark, "p2_contiguous": p2_contiguous, "p5_found": p5_found, "p5_keys": p5_keys}
+SQL = {"p1_declared": P1_DECLARED_SQL, "p2_transactions": P2_TRANSACTIONS_SQL, "p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p1_kinds": P1_KINDS_SQL, "p2_found": P2_FOUND_SQL, "p2_gaps": P2_GAPS_SQL, "p2_watermark": P2_WATERMARK_SQL, "p2_contiguous": P2_CONTIGUOUS_SQL, "p5_found": P5_FOUND_SQL, "p5_keys": P5_KEYS_SQL}

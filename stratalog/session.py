@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input that one task is meant to hold.
+TASK_BYTES = 128 << 20
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts.
@@ -19,6 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = tempfile.mkdtemp(prefix="stratalog-ckpt-")
+        remove_at_end(spark, known)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)
     return known
@@ -35,8 +40,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete ``folder`` when the driver's JVM ends; until then results may be read from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name beside the checkpoints, which driver and executors share."""
-    import uuid
+    """A new folder beside the checkpoints, which driver and executors share. It is deleted when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
+    return folder
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def parts(df: DataFrame) -> int:
+    """Tasks over which the rows of ``df`` are to be spread: one for each TASK_BYTES of what it reads, and no fewer than the session's
+    shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what has no known size counts as the largest number there is; it says nothing
+    return max(least, -(-size // TASK_BYTES)) if size < 1 << 62 else least

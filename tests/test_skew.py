@@ -28,28 +28,47 @@ def test_two_stages_against_brute_force(spark):
         ["relation", "to_id"],
         {"n": F.count(F.lit(1)), "a": F.min("seq"), "z": F.max("seq")},
         {"n": F.sum("n"), "a": F.min("a"), "z": F.max("z")},
-        distinct="from_id",
+        distinct=["from_id", "seq"],
         heavy=9,
         salts=7,
-        least_rows=100,
     )
-    assert rows(got) == sorted(((*k, len(v), min(s for _, s in v), max(s for _, s in v), len({f for f, _ in v} - {None})) for k, v in want.items()), key=repr)
-    plain = skew.salted_aggregate(df, ["relation", "to_id"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, heavy=9, salts=7, least_rows=100)
+    assert got.columns == ["relation", "to_id", "n", "a", "z", "n_from_id", "n_seq"]
+    assert rows(got) == sorted(((*k, len(v), min(s for _, s in v), max(s for _, s in v), len({f for f, _ in v} - {None}), len({s for _, s in v})) for k, v in want.items()), key=repr)
+    plain = skew.salted_aggregate(df, ["relation", "to_id"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, heavy=9, salts=7)
     assert rows(plain) == sorted(((*k, len(v)) for k, v in want.items()), key=repr)
 
 
 def test_heavy_keys_are_spread_and_named(spark):
     df = spark.createDataFrame(data(), "relation string, to_id string, from_id string, seq long")
-    assert rows(skew.heavy_keys(df, ["relation", "to_id"], least_rows=100).select("to_id")) == [("hot",)]
-    s = skew.salted(df, ["relation", "to_id"], ["from_id"], salts=7, least_rows=100)
-    assert s.where("to_id = 'hot' and relation = 'calls'").select("__salt").distinct().count() > 3
-    assert rows(s.where("to_id <> 'hot'").select("__salt").distinct()) == [(0,)]
+    assert rows(skew.heavy_keys(df, ["relation", "to_id"], heavy=10).select("to_id", "of")) == [("hot", 1240)]
+    s, h = skew.salted(df, ["relation", "to_id"], heavy=10, salts=7)
+    assert rows(s.select("to_id", "__salts").dropna().distinct()) == [("hot", 6)]
+    assert rows(h.select("relation", "to_id")) == [("calls", "hot")]
     assert s.count() == df.count()
 
 
+def test_small_tables_are_salted_too(spark):
+    df = spark.createDataFrame([("a", i) for i in range(6)] + [("b", 1)], "k string, v int")
+    assert rows(skew.heavy_keys(df, ["k"]).select("k", "n_rows")) == [("a", 6), ("b", 1)]
+
+
+def test_the_sketch_misses_no_heavy_key(spark):
+    """Many light keys around keys just above the share."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("h"), (F.col("id") / 5 % 100).cast("int"))).otherwise(F.concat(F.lit("l"), "id")).alias("k"))
+    assert {r[0] for r in skew.heavy_keys(df, ["k"], heavy=600).select("k").collect()} == {f"h{i}" for i in range(100)}
+
+
+def test_keys_go_once_through_the_shuffle(spark):
+    """Rows of heavy keys are shuffled under a number, without the key's columns."""
+    df = spark.createDataFrame(data(), "relation string, to_id string, from_id string, seq long")
+    got = skew.salted_aggregate(df, ["relation", "to_id"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, ["from_id"], heavy=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [relation" in plan and "Aggregate [__h" in plan and "Window" not in plan
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v string")
-    assert rows(skew.salted_aggregate(df, ["k"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, distinct="v")) == []
+    assert rows(skew.salted_aggregate(df, ["k"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, distinct=["v"])) == []
 
 
 def test_hot_join_is_a_join(spark):
