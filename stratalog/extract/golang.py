@@ -1,7 +1,8 @@
 """Top-level functions and methods of Go source, with signatures, positions and hashes.
 
 The scan tolerates errors: comments and literals are blanked out, brackets are matched, and each ``func`` outside of all braces
-is read as far as it goes. A function whose body does not end goes to the end of the text.
+is read as far as it goes. A function whose body does not end before the header of another at the start of a line goes up to there, or to
+the end of the text.
 """
 
 from __future__ import annotations
@@ -9,18 +10,21 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import trimmed
-from ..schemas import FUNCTION
+from ..operators.entities import ingest, upsert
+from ..schemas import FUNCTION, arrow_schema
 
 _BLANKED = re.compile(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*(?:`|\Z)|'(?:[^'\\\n]|\\[^\n]{1,9}?)'", re.S)
 _WORD = re.compile(rb"[^\W\d]\w*|[\x80-\xff]+")
 _PACKAGE = re.compile(rb"(?m)^[ \t]*package[ \t]+([^\s;]+)")
 _TOP = re.compile(rb"[{}]|(?<![\w.])func(?!\w)")
+_NEXT = re.compile(rb"\nfunc[ \t]+(?:\([^()\n]*\)[ \t]*)?[^\W\d]\w*[ \t]*[(\[]")
 _OPEN, _SHUT = b"([{", b")]}"
 
 
@@ -95,7 +99,11 @@ def functions(source: bytes) -> list[dict]:
         body, stop = b"", q + len(source[q:r].rstrip())
         if s[r : r + 1] == b"{":
             stop = _matching(s, r)
-            stop = len(source.rstrip()) if stop < 0 else stop
+            after = _NEXT.search(s, r)
+            if after and (stop < 0 or stop > after.start()):
+                stop = len(source[: after.start()].rstrip())
+            elif stop < 0:
+                stop = len(source.rstrip())
             body = source[r:stop]
         text = lambda b: b.decode("utf-8", "replace")
         own = text(name[0])
@@ -117,15 +125,18 @@ def functions(source: bytes) -> list[dict]:
     return out
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+FOUND = f"key string, functions array<{FUNCTION}>"
+
+
+def _extract(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [functions(t.encode() if isinstance(t, str) else bytes(t)) if t is not None else [] for t in b["content"]]
-        yield pd.DataFrame({"key": b["key"], "functions": found})
+        found = [functions(t.encode() if isinstance(t, str) else t) if t is not None else [] for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(found, schema.field(1).type)], schema=schema)
 
 
 def extract(files: DataFrame, key: str = "file_id") -> DataFrame:
     """``key`` and ``functions`` of each row of ``files`` (key, content as text or bytes); null and empty contents have none."""
-    return files.select(F.col(key).cast("string").alias("key"), "content").mapInPandas(_extract, f"key string, functions array<{FUNCTION}>").withColumnRenamed("key", key)
+    return files.select(F.col(key).cast("string").alias("key"), "content").mapInArrow(partial(_extract, schema=arrow_schema(FOUND)), FOUND).withColumnRenamed("key", key)
 
 
 def parsed(files: DataFrame, language: str = "go") -> DataFrame:
@@ -135,11 +146,17 @@ def parsed(files: DataFrame, language: str = "go") -> DataFrame:
     return f.select("path", F.lit(language).alias("language_id"), F.sha2(F.col("content").cast("binary"), 256).alias("file_hash")).join(e.withColumnRenamed("file_id", "path"), "path")
 
 
+def index(files: DataFrame, seq: int, language: str = "go") -> DataFrame:
+    """The index job as one plan: the entities of source files (path, content), extracted and ingested at ``seq``, one row per id. Contents that
+    cannot be read (null) are left out; a text in which nothing is found still is a file."""
+    return upsert(ingest(parsed(files, language), seq))
+
+
 def register_udtf(spark: SparkSession, name: str = "extract_go") -> None:
     """SQL: SELECT f.* FROM files, LATERAL extract_go(content) f."""
     fields = FUNCTION[len("struct<") : -1].replace(":", " ")
 
-    @F.udtf(returnType=", ".join(fields.split(",")))
+    @F.udtf(returnType=", ".join(fields.split(",")), useArrow=True)
     class Extract:
         def eval(self, content):
             for f in functions((content or "").encode() if isinstance(content or "", str) else bytes(content)):

@@ -51,6 +51,20 @@ def decode_causes(c: Column | str) -> Column:
     return F.when(c != "", digits)
 
 
+def decode_time(c: Column | str, strict: bool = False) -> Column:
+    """A time in RFC 3339 with any number of fractional digits and an offset or Z, as a struct: ``micros`` since 1970 (what is beyond a microsecond is cut
+    off) and ``nanos`` (0 to 999, of the cut-off rest the first three digits). Null for null and for what is no such time, or with strict an error."""
+    c = F.col(c) if isinstance(c, str) else c
+    shape = r"^(\d{4}-\d\d-\d\d)[Tt](\d\d:\d\d:\d\d)(?:\.(\d+))?([Zz]|[+-]\d\d:\d\d)$"
+    part = lambda i: F.regexp_extract(c, shape, i)
+    digits = F.rpad(F.substring(part(3), 1, 9), 9, "0")
+    whole = F.concat(part(1), F.lit(" "), part(2), F.upper(part(4))).try_cast("timestamp")
+    told = F.struct((F.unix_micros(whole) + F.substring(digits, 1, 6).cast("long")).alias("micros"), F.substring(digits, 7, 3).cast("int").alias("nanos"))
+    good = F.rlike(c, F.lit(shape)) & whole.isNotNull()
+    out = F.when(good, told)
+    return F.when(c.isNotNull() & ~good, F.raise_error(F.concat(F.lit("no time: "), c))).otherwise(out) if strict else out
+
+
 def diff_path(line: Column | str) -> Column:
     """The path of a +++ line: without the mark and one leading b/."""
     return F.regexp_replace(F.regexp_replace(F.trim(line), r"^\+\+\+ ", ""), r"^b/", "")

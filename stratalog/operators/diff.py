@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import WS, diff_path
 
 #: Headers of exported Go methods and functions; white space is that of RE2.
-METHOD = WS.join(["^", "*func", "+\\([^)]*\\)", "+([A-Z][A-Za-z0-9_]*)", "*\\("])
-FUNCTION = WS.join(["^", "*func", "+([A-Z][A-Za-z0-9_]*)", "*\\("])
+METHOD = rf"^{WS}*func{WS}+\([^)]*\){WS}+([A-Z][A-Za-z0-9_]*){WS}*\("
+FUNCTION = rf"^{WS}*func{WS}+([A-Z][A-Za-z0-9_]*){WS}*\("
 
 
 def hunks(diffs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.keys import norm_id
 from ..functions.scalars import glob_regex, last_segment, normalize_signature
+from .patterns import literal_join
 
 COLUMNS = ["kind", "language_id", "qualified_name", "receiver", "path", "body_hash"]
 
@@ -39,8 +40,8 @@ def lookup_suffix(names: DataFrame, entities: DataFrame, mode: str = "strict") -
     """``name`` of ``names`` with the entity that has it as its qualified name or as its end behind a dot.
 
     strict: letter case counts, functions and methods only. compat: the end is matched in any letter case, with _ standing for any
-    character, and against all kinds. Both are equi-joins on the last segment; only compat names with _ or % in it, for
-    which that key says nothing, are matched against the distinct names by pattern.
+    character and % for any text, and against all kinds. Both are equi-joins on the last segment; compat names with _ or %
+    in it, for which that key says nothing, are joined on what they end with behind the last such mark (operators/patterns).
     """
     n = names.select("name").dropna().distinct()
     if mode == "strict":
@@ -53,8 +54,15 @@ def lookup_suffix(names: DataFrame, entities: DataFrame, mode: str = "strict") -
     ends = F.ilike(e["qualified_name"], F.concat(F.lit("%."), n["name"]))
     plain = ~last_segment(n["name"]).rlike("[_%\\\\]")
     by_key = n.where(plain).join(e, (F.lower(last_segment(n["name"])) == F.lower(last_segment(e["qualified_name"]))) & (ends | (e["qualified_name"] == n["name"])))
-    by_pattern = n.where(~plain).join(e, ends | (e["qualified_name"] == n["name"]))
-    return first_match(by_key.unionByName(by_pattern), "name")
+    wild = n.where(~plain).withColumn("tail", F.lower(F.regexp_extract("name", r"([^_%\\\\]*)$", 1)))
+    near = literal_join(wild, F.lit(""), F.col("tail"), e.withColumn("low", F.lower("qualified_name")), "low")
+    by_pattern = near.where(F.ilike("qualified_name", F.concat(F.lit("%."), "name")) | (F.col("qualified_name") == F.col("name")))
+    return first_match(by_key.unionByName(by_pattern.select(*by_key.columns)), "name")
+
+
+def get(keys: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of the asked ``keys`` (a column ``key``, repeated ones once); keys that are not there have none."""
+    return keys.select(key).dropna().distinct().join(rows, key)
 
 
 def attribute_filter(entities: DataFrame, field: str, op: str, value: str) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MAX_DEPTH
-from ..session import cut
+from ..session import cut, cut_partitioned
+
+#: Sources with 1/HOT of the edges are kept apart.
+HOT = 1000
 
 
 def one_hop(edges: DataFrame, frontier: DataFrame, relations: Sequence[str] = ()) -> DataFrame:
@@ -22,14 +25,44 @@ def one_hop(edges: DataFrame, frontier: DataFrame, relations: Sequence[str] = ()
     return hop.groupBy(F.col("to_id").alias("id")).agg(F.min("relation").alias("via"))
 
 
+class Adjacency:
+    """Edges made ready for many hops: written once, partitioned by from_id, so that a hop shuffles its frontier and none of the edges.
+
+    A source with a share of the edges that would overload its partition (1/HOT of them or more, so there are at most HOT such sources) is kept
+    apart, its edges spread as they come; a hop sends it those of its frontier that are such sources by broadcast.
+    """
+
+    def __init__(self, edges: DataFrame, relations: Sequence[str] = ()):
+        e = edges.where(F.col("relation").isin(*relations)) if relations else edges
+        e = e.select("relation", "from_id", "to_id")
+        top = F.call_function("approx_top_k", F.xxhash64("from_id"), F.lit(2 * HOT), F.lit(16 * HOT))
+        e = cut(e)
+        found = e.agg(top.alias("t"), F.count(F.lit(1)).alias("of")).select("of", F.explode("t").alias("t")).where(F.col("t.count") * HOT >= F.col("of"))
+        # a few numbers, at most about HOT
+        self.hot = [r[0] for r in found.select("t.item").collect()]
+        is_hot = F.xxhash64("from_id").isin(*self.hot) if self.hot else F.lit(False)
+        self.spread = e.where(is_hot)
+        self.by_source = cut_partitioned(e.where(~is_hot), "from_id")
+
+    def hop(self, frontier: DataFrame) -> DataFrame:
+        """Distinct ``id`` reached from ``frontier`` (distinct id) by one edge forward, with the least ``relation`` that leads there."""
+        f = frontier.select(F.col("id").alias("from_id"))
+        out = self.by_source.join(f.hint("shuffle_hash"), "from_id")
+        if self.hot:
+            out = out.unionByName(self.spread.join(F.broadcast(f.where(F.xxhash64("from_id").isin(*self.hot))), "from_id"))
+        return out.groupBy(F.col("to_id").alias("id")).agg(F.min("relation").alias("via"))
+
+
 def bfs(edges: DataFrame, starts: DataFrame, relations: Sequence[str] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
     """``id``, ``depth``, ``via`` of all that is reached from ``starts`` (id) within ``max_depth`` hops forward, starts excluded even
-    where a cycle leads back to them. Depth 0 or less, or no starts: empty. Each level is written out, so a level costs one join,
-    whatever the depth, and a lost executor costs no level again."""
+    where a cycle leads back to them. Depth 0 or less, or no starts: empty. The edges are written once (Adjacency) and each level is written out,
+    so a level costs a shuffle of its frontier and of what is seen, whatever the depth, and a lost executor costs no level again."""
     begin = starts.select("id").dropna().distinct()
-    frontier, seen, levels = begin, begin, None
+    if max_depth < 1:
+        return begin.where(F.lit(False)).select("id", F.lit(0).alias("depth"), F.lit("").alias("via"))
+    near, frontier, seen, levels = Adjacency(edges, relations), begin, begin, None
     for depth in range(1, max_depth + 1):
-        fresh = cut(one_hop(edges, frontier, relations).join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via"))
+        fresh = cut(near.hop(frontier).join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via"))
         if fresh.isEmpty():
             break
         levels = fresh if levels is None else levels.unionByName(fresh)

@@ -3,26 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dsl.lexer import DslError
 from ..dsl.parser import Anchor, Flow, Selector, parse
-
+from ..dsl.render import describe
 from ..functions.scalars import glob_regex
-from ..schemas import ANCHOR, EXACT_CONFIDENCE, SELECTORS
+from ..schemas import ANCHOR, EXACT_CONFIDENCE, SELECTORS, arrow_schema
+from .patterns import literal_join
 
 
 def _anchors(anchors: list[Anchor]) -> list[dict]:
     return [{"ord": i, "kind": a.kind, "str": a.value.str if a.value else None, "int": a.value.int if a.value else None, "float": a.value.float if a.value else None} for i, a in enumerate(anchors)]
 
 
-def _declarations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _declarations(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for name, source in zip(b["source_name"], b["source"]):
+        for name, source in zip(*(c.to_pylist() for c in b.columns)):
             try:
                 decls = parse(source or "")
             except DslError as e:
@@ -36,7 +38,7 @@ def _declarations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((name, i, "flow", d.name, None, None, d.description, d.scope, d.risk, steps, None))
                 else:
                     rows.append((name, i, type(d).__name__.lower(), getattr(d, "name", None), None, None, None, None, None, None, None))
-        yield pd.DataFrame(rows, columns=["source_name", "ord", "what", "name", "unique", "anchors", "description", "scope", "risk", "steps", "error"])
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
 
 DECLARATIONS = f"source_name string, ord int, what string, name string, unique boolean, anchors array<{ANCHOR}>, description string, scope string, risk string, steps array<struct<ord:int,name:string,anchors:array<{ANCHOR}>>>, error string"
@@ -44,7 +46,21 @@ DECLARATIONS = f"source_name string, ord int, what string, name string, unique b
 
 def declarations(sources: DataFrame) -> DataFrame:
     """The declarations of source texts (source_name, source), one row each, and one row with ``error`` for a text that is none."""
-    return sources.select("source_name", "source").mapInPandas(_declarations, DECLARATIONS)
+    return sources.select("source_name", "source").mapInArrow(partial(_declarations, schema=arrow_schema(DECLARATIONS)), DECLARATIONS)
+
+
+DESCRIBED = "source_name string, resolved_at_kernel_seq long, declarations long, canonical string"
+
+
+def _described(batches: Iterator[pa.RecordBatch], schema: pa.Schema, seq: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [{"source_name": n, **describe(s or "", seq)} for n, s in zip(*(c.to_pylist() for c in b.columns))]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def described(sources: DataFrame, seq: int) -> DataFrame:
+    """What the query command answers for each source text: its declarations' number and their canonical text. A text that is no source is an error."""
+    return sources.select("source_name", "source").mapInArrow(partial(_described, schema=arrow_schema(DESCRIBED), seq=seq), DESCRIBED)
 
 
 def load(sources: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +108,10 @@ def resolve_ladder(selectors: DataFrame, entities: DataFrame) -> DataFrame:
     parts = []
     for kind, column in (("qualified_name", "qualified_name"), ("signature_id", "id"), ("body_hash", "body_hash")):
         parts.append(a.where(F.col("kind") == kind).join(e.select(F.col(column).alias("str"), F.col("id").alias("entity_id")).dropna(), "str").select("name", "ord", "entity_id"))
-    globs = a.where("kind = 'path_glob'").withColumn("pattern", glob_regex(F.col("str")))
+    globs = a.where("kind = 'path_glob'").select("name", "ord", "str", glob_regex(F.col("str")).alias("pattern"))
     paths = e.where("path is not null").select("path", F.col("id").alias("entity_id"))
-    parts.append(globs.join(paths, F.rlike(paths["path"], globs["pattern"])).select("name", "ord", "entity_id"))
+    near = literal_join(globs, F.regexp_extract("str", r"^([^*?]*)", 1), F.regexp_extract("str", r"([^*?]*)$", 1), paths, "path")
+    parts.append(near.where(F.rlike("path", F.col("pattern"))).select("name", "ord", "entity_id"))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
@@ -112,5 +129,3 @@ def overlay_from_table(spark: SparkSession, selectors: list[tuple[str, list[str]
     """Selectors of (name, qualified names in order)."""
     rows = [(n, False, [(i, "qualified_name", q, None, None) for i, q in enumerate(qs)]) for n, qs in selectors]
     return spark.createDataFrame(rows, SELECTORS)
-
-

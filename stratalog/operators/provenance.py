@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import blocking_risk
 
+#: Facts of a key that may stand in one row.
+MOST_NESTED = 10_000
+
 
 def fold(facts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Per key: the least confidence, the freshness of the greatest risk (of equals the first along ``order``), the greatest
@@ -26,11 +29,15 @@ def fold_members(facts: DataFrame, keys: Sequence[str], member: str) -> DataFram
     return facts.select(*keys, F.explode(member).alias(member)).distinct()
 
 
-def fold_nested(facts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """As fold(), with the sorted unions of source_class and inputs and the constituents as arrays, for keys whose facts
-    fit in one row. An empty table gives an empty one; empty_fold() is the value of no facts."""
+def fold_nested(facts: DataFrame, keys: Sequence[str], order: str, most: int = MOST_NESTED) -> DataFrame:
+    """As fold(), with the sorted unions of source_class and inputs and the constituents as arrays, in one row per key. A key with more than
+    ``most`` facts is an error, raised before any of them is collected: fold() and fold_members() are for keys of any size. An empty table gives an
+    empty one; empty_fold() is the value of no facts."""
+    over = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).first()
+    if over:
+        raise ValueError(f"{over['n']} facts of {tuple(over)[:-1]}, more than {most}: take fold() and fold_members()")
     one = F.struct(order, "confidence", "freshness", "source_class", "inputs", "produced_seq")
-    folded = facts.groupBy(*keys).agg(
+    return facts.groupBy(*keys).agg(
         F.min("confidence").alias("confidence"),
         F.max_by("freshness", F.struct(blocking_risk("freshness"), -F.col(order))).alias("freshness"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_class")))).alias("source_class"),
@@ -38,7 +45,6 @@ def fold_nested(facts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         F.max("produced_seq").alias("produced_seq"),
         F.array_sort(F.collect_list(one)).alias("constituents"),
     )
-    return folded
 
 
 def empty_fold() -> dict:

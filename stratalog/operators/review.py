@@ -31,6 +31,11 @@ def listed(proposals: DataFrame, state: str = "") -> DataFrame:
     return p.orderBy("created_at", "id")
 
 
+def get(proposals: DataFrame, transitions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The proposals of the asked ids (a column ``id``) with their states; an id that is not there has no row (see unknown())."""
+    return states(proposals.join(asked.select("id").dropna().distinct(), "id", "left_semi"), transitions)
+
+
 def route(writes: DataFrame, rules: DataFrame) -> DataFrame:
     """``writes`` (layer, source) with ``route``: the action of the rule (layer, source, action) for the source or for its class (what
     stands before the colon); forbidden before review before direct; review where no rule fits."""

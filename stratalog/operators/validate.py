@@ -45,17 +45,40 @@ def findings(touched_by: DataFrame, flows: DataFrame, resolved: DataFrame, diff_
 
 def validate_diffs(diffs: DataFrame, entities: DataFrame, selectors: DataFrame, flows: DataFrame, mode: str = "strict", seq: int | None = None) -> DataFrame:
     """Diffs (diff_id, text) to findings: parse, map to entities, match flows, emit. Blank diffs have none."""
-    sha = diffs.select("diff_id", ids.diff_sha("text").alias("diff_sha"))
+    sha = diffs.select("diff_id", ids.diff_sha("text").alias("diff_sha")).distinct()
     t = touched(diffs, entities, mode).join(sha, "diff_id").select("diff_id", "diff_sha", "qualified_name")
     return findings(t, flows, resolve(selectors, entities, seq))
 
 
 def summary(diffs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per diff its number of findings as a sentence; blank diffs are called empty."""
+    """Per diff its number of findings as a sentence; blank diffs are called empty. A diff that is there twice counts once; its text is not shuffled."""
     n = found.groupBy("diff_id").agg(F.count(F.lit(1)).alias("n"))
     blank = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")) == ""
-    line = F.when(blank, F.lit("0 findings (empty diff)")).otherwise(F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" findings")))
-    return diffs.join(n, "diff_id", "left").select("diff_id", line.alias("summary"))
+    d = diffs.select("diff_id", blank.alias("blank"), F.xxhash64("text").alias("h")).distinct()
+    line = F.when(F.col("blank"), F.lit("0 findings (empty diff)")).otherwise(F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" findings")))
+    return d.join(n, "diff_id", "left").select("diff_id", line.alias("summary"))
+
+
+def labels(found: DataFrame) -> DataFrame:
+    """Each finding with its label, its kind and flow joined by a colon, by which expected and observed ones are told apart."""
+    return found.select("*", F.concat_ws(":", "kind", F.col("subject.flow")).alias("label"))
+
+
+def run_scenario(scenario: str, diffs: DataFrame, entities: DataFrame, selectors: DataFrame, flows: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A benchmark scenario as one plan: its diffs validated, and scored against ``expected`` (kind, flow). The labelled findings, and one
+    row with the scores of the four axes."""
+    found = labels(validate_diffs(diffs, entities, selectors, flows))
+    seen = found.select(F.lit(scenario).alias("scenario"), "kind", F.col("subject.flow").alias("flow"))
+    every = found.sparkSession.createDataFrame([(scenario,)], "scenario string")
+    score = detection_score(expected.select(F.lit(scenario).alias("scenario"), "kind", "flow"), seen, ["scenario"])
+    # neither expected nor observed is full detection
+    score = every.join(score, "scenario", "left").withColumns({"detection": F.coalesce("detection", F.lit(1.0))} | {c: F.lit(-1.0) for c in ("repair_quality", "repair_execution", "final_clean_patch")})
+    return found, score
+
+
+def as_json(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``json``: each row as one line of JSON, nulls included, as a sink of findings, envelopes or lists writes it."""
+    return rows.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def detection_score(expected: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:

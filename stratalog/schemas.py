@@ -25,3 +25,11 @@ MAX_DEPTH = 8
 EXACT_CONFIDENCE = 0.97
 
 SPARK_TYPE = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean", "timestamp": "timestamp", "enum": "string", "path": "string", "selector": "string", "opaque_blob": "binary", "entity_ref(self)": "string"}
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a table; for the driver, which sends it to tasks."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))

@@ -36,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_partitioned(df: DataFrame, by: str) -> DataFrame:
+    """As cut(), spread by the hash of a column, which later joins and groups by it take as it is. The plan must not be adapted for that, as an
+    adapted plan does not say how its result is spread."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    was = conf.get(key)
+    spread = df.repartition(parts(df), by)
+    conf.set(key, "false")
+    try:
+        return cut(spread)
+    finally:
+        conf.set(key, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

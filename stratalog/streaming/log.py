@@ -13,22 +13,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import append, last_seq, matching
 from ..schemas import EVENTS
+from ..session import exists
 
 #: Name and type of each column.
 FIELDS = [tuple(f.split(" ", 1)) for f in EVENTS.split(", ")]
 
 
-def read_log(spark: SparkSession, folder: str, before_batch: int | None = None) -> DataFrame:
-    """The log in ``folder``; with ``before_batch`` only what earlier batches wrote. Empty if nothing was written."""
-    try:
-        log = spark.read.schema(EVENTS).option("basePath", folder).parquet(f"{folder}/batch=*")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], EVENTS)
-        raise
-    if before_batch is not None:
-        log = log.where(F.col("batch") < before_batch)
-    return log.select(*[n for n, _ in FIELDS])
+#: Folder within a log's folder, hidden from its readers, with one row per batch: the last number it gave.
+LAST = "_last"
+
+
+def read_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log in ``folder``; empty if nothing was written."""
+    if not exists(spark, f"{folder}/{LAST}"):
+        return spark.createDataFrame([], EVENTS)
+    return spark.read.schema(EVENTS).option("basePath", folder).parquet(f"{folder}/batch=*").select(*[n for n, _ in FIELDS])
+
+
+def last_before(spark: SparkSession, folder: str, batch_id: int) -> int:
+    """The last number that batches before this one gave; 0 if there is none. Reads one row per batch, whatever the log's length."""
+    if not exists(spark, f"{folder}/{LAST}"):
+        return 0
+    told = spark.read.schema("seq long, batch long").parquet(f"{folder}/{LAST}")
+    return last_seq(told.where(F.col("batch") < batch_id)).first()[0]
 
 
 def sequence(stream: DataFrame, folder: str, checkpoint: str, order: Sequence[str], available_now: bool = True) -> StreamingQuery:
@@ -40,9 +47,12 @@ def sequence(stream: DataFrame, folder: str, checkpoint: str, order: Sequence[st
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        after = last_seq(read_log(spark, folder, batch_id)).first()[0]
+        after = last_before(spark, folder, batch_id)
         full = batch.withColumns({n: F.lit(None).cast(t) for n, t in FIELDS if n not in batch.columns})
         append(full, after, order).select(*[F.col(n).cast(t) for n, t in FIELDS]).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        # an empty batch gives no number
+        mine = spark.read.schema(EVENTS).parquet(f"{folder}/batch={batch_id}").agg(F.coalesce(F.max("seq"), F.lit(after)).alias("seq"))
+        mine.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{LAST}/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -13,11 +13,11 @@ from .conftest import rows
 
 SOURCE = """// the overlay
 import "lib/pay.gh" as p
-selector CheckoutValidator { unique anchor qualified_name "checkout.CheckoutValidator.Validate" }
+selector LedgerBook { unique anchor qualified_name "billing.LedgerBook.Post" }
 /* a flow */
-flow CheckoutValidation {
+flow LedgerPosting {
   description "checks \\"all\\""
-  scope CheckoutValidator
+  scope LedgerBook
   risk high
   step Check targets selector { qualified_name "a.B" weight 2 share 1.0 }
 }
@@ -28,7 +28,7 @@ query "q" { match x }
 def test_parse_and_render_round_trip():
     d = parse(SOURCE)
     assert [type(x) for x in d] == [Import, Selector, Flow, Query]
-    assert d[1].unique and d[1].anchors[0].value.str == "checkout.CheckoutValidator.Validate"
+    assert d[1].unique and d[1].anchors[0].value.str == "billing.LedgerBook.Post"
     assert d[2].description == 'checks "all"' and d[2].steps[0].anchors[2].value.float == 1.0
     assert parse(render(d)) == d and render(parse(render(d))) == render(d)
     assert describe(SOURCE, 7)["declarations"] == 4
@@ -57,7 +57,7 @@ def test_any_declarations_round_trip(decls):
     assert parse(render(decls)) == decls
 
 
-ENT = [("e1", "Method", "go", "checkout.CheckoutValidator.Validate", "CheckoutValidator", None, "h1", 1), ("e2", "Function", "go", "checkout.helper", None, None, "h2", 1), ("e3", "Function", "go", "other.Validate", None, None, "h1", 1)]
+ENT = [("e1", "Method", "go", "billing.LedgerBook.Post", "LedgerBook", None, "h1", 1), ("e2", "Function", "go", "billing.helper", None, None, "h2", 1), ("e3", "Function", "go", "other.Post", None, None, "h1", 1)]
 
 
 def sources(spark, *texts):
@@ -65,30 +65,31 @@ def sources(spark, *texts):
 
 
 def test_load_last_wins_and_strict(spark):
-    s, f = overlay.load(sources(spark, SOURCE, 'selector CheckoutValidator { anchor qualified_name "x.Y" }', "nonsense {", None))
-    assert rows(s.selectExpr("name", "anchors[0].str")) == [("CheckoutValidator", "x.Y")]
-    assert rows(f.select("name", "risk")) == [("CheckoutValidation", "high")]
+    s, f = overlay.load(sources(spark, SOURCE, 'selector LedgerBook { anchor qualified_name "x.Y" }', "nonsense {", None))
+    assert rows(s.selectExpr("name", "anchors[0].str")) == [("LedgerBook", "x.Y")]
+    assert rows(f.select("name", "risk")) == [("LedgerPosting", "high")]
     with pytest.raises(DslError):
         overlay.load(sources(spark, "nonsense {"), strict=True)
 
 
 def test_resolution(spark):
     e = spark.createDataFrame(ENT, ENTITIES)
-    s = overlay.overlay_from_table(spark, [("a", ["no.Such", "checkout.helper"]), ("b", ["no.Such"]), ("c", [])])
+    s = overlay.overlay_from_table(spark, [("a", ["no.Such", "billing.helper"]), ("b", ["no.Such"]), ("c", [])])
     got = {r["name"]: r for r in overlay.resolve(s, e, 9).collect()}
     assert (got["a"]["outcome"], got["a"]["entity_id"], got["a"]["confidence"], got["a"]["n_matches"], got["a"]["resolved_at"]) == ("bound", "e2", 0.97, 1, 9)
     assert got["b"]["outcome"] == got["c"]["outcome"] == "unresolved"
-    ladder = 'selector x { anchor qualified_name "nope" anchor body_hash "h1" } selector y { anchor qualified_name "checkout.helper" } selector z { anchor qualified_name "no" anchor body_hash "h2" }'
+    ladder = 'selector x { anchor qualified_name "nope" anchor body_hash "h1" } selector y { anchor qualified_name "billing.helper" } selector z { anchor qualified_name "no" anchor body_hash "h2" }'
     sel, _ = overlay.load(sources(spark, ladder))
     assert rows(overlay.resolve_ladder(sel, e).select("name", "outcome", "anchor_ord")) == [("x", "ambiguous", 1), ("y", "bound", 0), ("z", "reanchored", 1)]
 
 
-DIFF = """--- a/internal/checkout/validator.go
-+++ b/internal/checkout/validator.go
+DIFF = """--- a/billing/ledger.go
++++ b/billing/ledger.go
 @@ -1,2 +1,5 @@
-+func (v *CheckoutValidator) Validate(x any) error {
++func (b *LedgerBook) Post(entry Entry) (int, error) {
 -gone
-+	return nil
++	b.n++
++	return b.n, nil
 +}
 +++ b/other.go
 +++counter
@@ -100,23 +101,23 @@ DIFF = """--- a/internal/checkout/validator.go
 def test_diff(spark):
     d = spark.createDataFrame([(1, DIFF), (2, ""), (3, None), (4, "+no file\n")], "diff_id long, text string")
     h = diff.hunks(d)
-    assert rows(h.select("diff_id", "hunk_ord", "path").distinct()) == [(1, 1, "internal/checkout/validator.go"), (1, 2, "other.go")]
-    assert h.count() == 5
-    assert rows(diff.function_names(h).select("name")) == [("Validate",)]
+    assert rows(h.select("diff_id", "hunk_ord", "path").distinct()) == [(1, 1, "billing/ledger.go"), (1, 2, "other.go")]
+    assert h.count() == 6
+    assert rows(diff.function_names(h).select("name")) == [("Post",)]
 
 
 def test_tracer(spark):
     e = spark.createDataFrame(ENT, ENTITIES)
-    text = 'selector CheckoutValidator { anchor qualified_name "checkout.CheckoutValidator.Validate" } flow CheckoutValidation { scope CheckoutValidator } flow Loose { scope Nowhere } flow Bare { }'
+    text = 'selector LedgerBook { anchor qualified_name "billing.LedgerBook.Post" } flow LedgerPosting { scope LedgerBook } flow Loose { scope Nowhere } flow Bare { }'
     s, f = overlay.load(sources(spark, text))
     d = spark.createDataFrame([(1, DIFF), (2, "  \n")], "diff_id long, text string")
     found = validate.validate_diffs(d, e, s, f)
     first = found.collect()
-    assert len(first) == 1 and first[0]["kind"] == "flow_unreviewed" and first[0]["severity"] == "medium" and first[0]["subject"]["flow"] == "CheckoutValidation"
+    assert len(first) == 1 and first[0]["kind"] == "flow_unreviewed" and first[0]["severity"] == "medium" and first[0]["subject"]["flow"] == "LedgerPosting"
     assert validate.validate_diffs(d, e, s, f).collect() == first
     assert rows(validate.summary(d, found)) == [(1, "1 findings"), (2, "0 findings (empty diff)")]
     seen = found.selectExpr("1 as scenario", "kind", "subject.flow as flow")
-    want = spark.createDataFrame([(1, "flow_unreviewed", "CheckoutValidation"), (2, "flow_unreviewed", "Other")], "scenario int, kind string, flow string")
+    want = spark.createDataFrame([(1, "flow_unreviewed", "LedgerPosting"), (2, "flow_unreviewed", "Other")], "scenario int, kind string, flow string")
     assert rows(validate.detection_score(want, seen, ["scenario"]).select("scenario", "detection", "repair_quality")) == [(1, 1.0, -1.0), (2, 0.0, -1.0)]
     assert f.count() == 3 and FLOWS
 
