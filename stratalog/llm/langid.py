@@ -2,7 +2,8 @@
 
 The model is that of averaged hashed subword embeddings with a linear softmax: each word gives hashed character n-grams and itself,
 a segment's vector is the mean of their embeddings, its language the softmax of a linear map of it. It is trained here by
-stochastic gradient descent in numpy, on at most ``TRAIN_DOCS`` labelled documents (of each at most ``TRAIN_CHARS`` characters);
+stochastic gradient descent in numpy, on a sample of about ``TRAIN_DOCS`` labelled documents (of each at most ``TRAIN_CHARS`` characters), of whose
+segments ``TRAIN_SEGMENTS`` are drawn;
 labels may be wrong, so segments on which a first model firmly disagrees with their label are left out of the second. A
 temperature is fitted on held-out segments, and the confidence from which a language is believed is set there too; segments
 under it are of no language.
@@ -43,7 +44,7 @@ NAMES = {
 LANGS = list(NAMES)
 NONE = len(LANGS)
 #: The bound of the training sample, and the parts of it.
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_SEGMENTS = 4000, 4000, 16_000
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_SEGMENTS = 1200, 4000, 16_000
 BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 6, 0.3, 128
 #: Steps of a training at least, for small samples.
 LEAST_STEPS = 400
@@ -51,7 +52,10 @@ LEAST_STEPS = 400
 PASSAGE, LEAST_WORDS, SWITCH = 10, 4, 3.0
 #: Share of the held-out segments, believed and right, for which the threshold is set.
 PRECISION = 0.995
-MOST_TOKENS, CHARS = 300_000, 1 << 21
+#: What the table of tokens may hold, in tokens and in characters, before it is emptied; characters of texts worked on at once.
+MOST_TOKENS, MOST_CHARS, CHARS = 300_000, 1 << 24, 1 << 21
+
+MOST_HASH = (1 << 63) - 1
 
 _TOKENS = re.compile(r"\S+|\n")
 _EDGE = "\"'`´’‘“”„«»‚‹›()[]{}<>*_~#|.,;:!?…¡¿-–—+=/\\​‌‍⁠﻿­"
@@ -84,7 +88,7 @@ def fold(text: str) -> str:
 
 def buckets_of(word: str) -> list[int]:
     """The hashed subwords of a word: itself and its n-grams of two to four characters with marked ends."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     out = [w]
     for n in (2, 3, 4):
         out += [w[i : i + n] for i in range(len(w) - n + 1)]
@@ -106,7 +110,7 @@ def token_of(raw: str) -> Token:
     if raw[:3] in ("```", "~~~"):
         return Token([], True, True)
     stop = raw.rstrip("\"'`’”»)*_").endswith(_STOP)
-    inner = unicodedata.normalize("NFC", raw[:200]).strip(_EDGE) if len(raw) < 200 else ""
+    inner = unicodedata.normalize("NFC", raw).strip(_EDGE)
     if not inner or "`" in raw or _CODE.search(inner):
         return Token([], stop)
     return Token(_PARTS.findall(fold(inner)), stop)
@@ -139,6 +143,7 @@ class Tokens(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.chars = 0
         self.sums = np.zeros((1 << 12, len(LANGS)), np.float32)
         self.counts = np.zeros(1 << 12, np.int32)
         self.words = np.zeros(1 << 12, np.int32)
@@ -158,6 +163,7 @@ class Tokens(dict):
         self.words[n] = bool(t.words)
         self.marks[n] = 2 if t.fence else t.stop
         self[raw] = n
+        self.chars += len(raw)
         return n
 
 
@@ -184,11 +190,12 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     seen: dict[str, list[int]] = {}
     data, label = [], []
-    for lang, text in samples:
-        for words in segments_of(text):
-            if len(words) >= LEAST_WORDS and len(data) < TRAIN_SEGMENTS:
-                data.append(np.array([b for w in words for b in (seen.get(w) or seen.setdefault(w, buckets_of(w)))], np.int32))
-                label.append(LANGS.index(lang))
+    found = [(lang, words) for lang, text in samples for words in segments_of(text) if len(words) >= LEAST_WORDS]
+    if len(found) > TRAIN_SEGMENTS:  # drawn from all of them, as languages may come in any order
+        found = [found[i] for i in rng.choice(len(found), TRAIN_SEGMENTS, replace=False)]
+    for lang, words in found:
+        data.append(np.array([b for w in words for b in (seen.get(w) or seen.setdefault(w, buckets_of(w)))], np.int32))
+        label.append(LANGS.index(lang))
     if not data:
         return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32), threshold=1.1)
     y = np.array(label)
@@ -272,14 +279,15 @@ def _levels(right: np.ndarray, sure: np.ndarray):
 
 
 # use -----------------------------------------------------------------------------------------------------------------
-def decode(p: np.ndarray, words: np.ndarray, threshold: float) -> np.ndarray:
-    """Languages (NONE: none) of a document's segments with these probabilities and words."""
-    best = p.argmax(axis=1)
-    long = words >= LEAST_WORDS
-    if (p.max(axis=1) >= threshold).all() or not long.any():
-        # short segments too: many of another language in a row are a passage
-        if (best == best[0]).all():
-            return np.full(len(p), best[0])
+def decode(p: np.ndarray, words: np.ndarray, threshold: float, whole: np.ndarray | None = None) -> np.ndarray:
+    """Languages (NONE: none) of a document's segments with these probabilities and words. whole: the probabilities of all segments taken as one,
+    which decide where each by itself is short; they are held to the same threshold."""
+    best, firm = p.argmax(axis=1), p.max(axis=1) >= threshold
+    # short segments too: many of another language in a row are a passage
+    if firm.all() and (best == best[0]).all():
+        return np.full(len(p), best[0])
+    if whole is not None and whole.max() >= threshold and (words < LEAST_WORDS).all() and (best[firm] == whole.argmax()).all():
+        return np.full(len(p), whole.argmax())
     emit = np.log(np.maximum(np.concatenate([p, np.full((len(p), 1), threshold)], axis=1), 1e-6)) * np.minimum(words / 4.0, 3.0)[:, None]
     n = len(p)
     score, came = emit[0].copy(), np.zeros((n, NONE + 1), np.int64)
@@ -300,7 +308,7 @@ Run = tuple[int, int, int, float]
 
 def passages(texts: list[str | None], tokens: Tokens) -> list[list[Run]]:
     """For each text its runs of segments of one language: (number, language, words, confidence)."""
-    if len(tokens) > MOST_TOKENS:
+    if len(tokens) > MOST_TOKENS or tokens.chars > MOST_CHARS:
         tokens.reset()
     parts = [_TOKENS.findall(t) if t else [] for t in texts]
     sizes = np.array([len(p) for p in parts])
@@ -326,7 +334,8 @@ def passages(texts: list[str | None], tokens: Tokens) -> list[list[Run]]:
     if not len(rows):
         return [[] for _ in texts]
     starts = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1])]))
-    p = tokens.model.probabilities(np.add.reduceat(tokens.sums[rows], starts, axis=0), np.add.reduceat(counts, starts))
+    sums, of_segment = np.add.reduceat(tokens.sums[rows], starts, axis=0), np.add.reduceat(counts, starts)
+    p = tokens.model.probabilities(sums, of_segment)
     n_words, of = np.add.reduceat(words, starts), doc[starts]
     cuts = np.searchsorted(of, np.arange(len(texts) + 1))
     out: list[list[Run]] = []
@@ -334,7 +343,8 @@ def passages(texts: list[str | None], tokens: Tokens) -> list[list[Run]]:
         lo, hi = cuts[d], cuts[d + 1]
         runs: list[Run] = []
         if hi > lo:
-            langs = decode(p[lo:hi], n_words[lo:hi], tokens.model.threshold)
+            whole = tokens.model.probabilities(sums[lo:hi].sum(axis=0, keepdims=True), of_segment[lo:hi].sum(keepdims=True))[0]
+            langs = decode(p[lo:hi], n_words[lo:hi], tokens.model.threshold, whole)
             change = np.flatnonzero(np.diff(langs)) + 1
             for k, (a, z) in enumerate(zip([0, *change], [*change, hi - lo])):
                 lang, w = int(langs[a]), n_words[lo + a : lo + z]
@@ -345,15 +355,17 @@ def passages(texts: list[str | None], tokens: Tokens) -> list[list[Run]]:
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """The model of a sample of about ``most`` labelled rows of ``docs`` (doc_id, text, lang), chosen by the hash of their ids."""
+    """The model of a sample of about ``most`` labelled rows of ``docs`` (doc_id, text, lang), chosen by a hash of the row, which has as many values
+    as needed for any number of rows. Labelled rows are counted by their labels alone, and the texts are read once. Equal rows are one."""
     known = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]+)(?:[-_.,;( ]|$)", 1)
-    rows = docs.select("doc_id", "text", known.alias("l")).where(F.col("l").isin(*_label_table()) & (F.length("text") > 0))
-    n = rows.count()
-    share = min(1.0, most / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else rows
-    got = picked.select("doc_id", "l", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id", F.lit("order")).alias("h")).limit(2 * most).collect()
-    # train() takes segments up to a bound: by hash, as ids may come by language
-    return train([(_label_table()[r["l"]], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
+    labelled = docs.withColumn("l", known).where(F.col("l").isin(*_label_table()))
+    n = labelled.select("l").count()
+    rows = labelled.where(F.length("text") > 0).select("doc_id", "l", "text")
+    # a row more than asked for on average, as none would leave nothing to learn from
+    if n > most:
+        rows = rows.where(F.xxhash64("doc_id", "l", "text").bitwiseAND(MOST_HASH) <= max(1, (most + 1) * MOST_HASH // n))
+    got = rows.select("doc_id", "l", F.substring("text", 1, TRAIN_CHARS).alias("text")).distinct().collect()
+    return train([(_label_table()[r["l"]], r["text"]) for r in sorted(got, key=lambda r: (r["doc_id"] or 0, r["l"], r["text"]))])
 
 
 SCHEMA = "doc_id long, label string, runs array<struct<ord:int,lang:string,n_words:int,confidence:double>>"

@@ -128,12 +128,37 @@ def test_catalog_runs(spark):
         assert got and len({str(r) for r in got}) == len(got)
 
 
-def test_languages_that_come_late_are_trained(spark, monkeypatch):
-    monkeypatch.setattr(L, "TRAIN_SEGMENTS", 200)
+def test_languages_that_come_late_are_trained(monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_SEGMENTS", 300)
+    t = L.Tokens(L.train([(x, text(*[x] * 10)) for x in ["en"] * 100 + ["de"] * 100]))
+    assert [langs(r) for r in L.passages([text("en", "en"), text("de", "de")], t)] == [["en"], ["de"]]
+
+
+def test_the_sample_is_never_empty(spark, monkeypatch):
+    """However many labelled rows there are, about as many as asked for are drawn."""
     seen = []
-    monkeypatch.setattr(L, "train", lambda samples: seen.extend(samples))
-    # 10 segments a document: the first 20 documents fill the bound
-    df = spark.createDataFrame([(i, text(*[x] * 10), x) for i, x in enumerate(["en"] * 100 + ["de"] * 100)], "doc_id long, text string, lang string")
-    L.fit(df)
-    assert len(seen) == 200
-    assert {x for x, _ in seen[:20]} == {"en", "de"}
+    monkeypatch.setattr(L, "train", lambda samples: seen.append(len(samples)))
+    df = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    L.fit(df, most=50)
+    L.fit(df.union(df), most=50)
+    L.fit(df.limit(40), most=50)
+    assert 20 < seen[0] < 100 and 10 < seen[1] < 60 and seen[2] == 40
+    # the bound is a whole number of 63 bits: 4000 of 2e11 rows are a share of 2e-8
+    assert (4001 * L.MOST_HASH // 200_000_000_000) / L.MOST_HASH == pytest.approx(2e-8, rel=1e-3)
+
+
+def test_short_segments_are_held_to_the_threshold():
+    p = np.full((3, 8), 0.1)
+    p[:, 0] = 0.3
+    words = np.array([3, 3, 3])
+    assert L.decode(p, words, 0.9).tolist() == [L.NONE] * 3
+    assert L.decode(p, words, 0.9, np.array([0.3] + [0.1] * 7)).tolist() == [L.NONE] * 3
+    assert L.decode(p, words, 0.9, np.array([0.95] + [0.005] * 7)).tolist() == [0] * 3
+
+
+def test_no_length_of_a_word_is_too_long(model):
+    glued = "​".join(text("de", "de").lower().replace(".", "").split()) + "​"
+    assert len(glued) > 100 and L.token_of(glued * 3).words
+    long = "donaudampfschifffahrtsgesellschaftskapitaen" * 20
+    assert len(L.buckets_of(long)) == 1 + sum(len(long) + 2 - n + 1 for n in (2, 3, 4))
+    assert L.passages([long], L.Tokens(model))[0][0][2] == 1
