@@ -4,7 +4,8 @@ Text goes in by chunks of any size, token ids come out as soon as they are stabl
 whatever the length of the text or of a single piece of it. Two stages each have a lookahead computed from their rules:
 
 * **Pieces.** The split pattern looks at most ``PIECE_LOOKAHEAD`` characters behind a piece, so a piece is final once so many
-  characters follow it.
+  characters follow it. One that is longer than a chunk is a run of letters, of numbers, of white space or of other characters: it is sent on in parts
+  while it grows, and of a run of white space only the last character is held, as it may belong to what follows.
 * **Tokens within a piece.** A sequence of tokens is the BPE encoding of its bytes exactly if each neighbouring pair is the
   encoding of its own bytes. So each prefix of a piece has one last token, found among the tokens that end there by looking
   at the last token of the shorter prefix; following these pointers back gives the encoding of any prefix. A token is stable once
@@ -30,11 +31,12 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters behind a piece on which its end may depend: two for 're, 've and 'll, one for white space.
 PIECE_LOOKAHEAD = 2
-#: Longest piece, in characters, that is encoded at once and remembered; a longer one is streamed.
-SHORT = 256
-#: Pieces remembered; the table is emptied when full.
-MOST_PIECES = 200_000
+#: Pieces whose ids are remembered, and the longest of them in characters; the table is emptied when full.
+MOST_PIECES, REMEMBERED = 200_000, 64
+#: Characters that are split at once.
 CHUNK = 1 << 16
+#: What goes on with a run, by the kind of its last character.
+RUNS = {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\s+", "O": r"[^\s\p{L}\p{N}]+"}
 
 
 class Bpe:
@@ -46,7 +48,7 @@ class Bpe:
         self.text = {i: b for b, i in ranks.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.own = {b for b in ranks if len(b) == 1}
-        self.known: dict[bytes, bool] = {}
+        self.splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._lookahead = 0
         self._suffixes: set[bytes] = set()
 
@@ -72,7 +74,13 @@ class Bpe:
         return parts
 
     def split_of(self, token: bytes) -> tuple[bytes, bytes] | None:
-        """The two tokens of which ``token`` is made by the merges before its own; None for single bytes and what no merge makes."""
+        """The two tokens of which ``token`` is made by the merges before its own; None for single bytes and what no merge makes. Remembered:
+        there are no more than there are tokens."""
+        if token not in self.splits:
+            self.splits[token] = self._split_of(token)
+        return self.splits[token]
+
+    def _split_of(self, token: bytes) -> tuple[bytes, bytes] | None:
         limit = self.ranks[token]
         parts = [token[i : i + 1] for i in range(len(token))]
         while len(parts) > 2:
@@ -119,131 +127,194 @@ class Bpe:
 
     def is_token(self, b: bytes) -> bool:
         """Is ``b`` in the vocabulary and its own encoding?"""
-        ok = self.known.get(b)
-        if ok is None:
-            ok = b in self.ranks and len(self.merge(b)) == 1
-            if len(self.known) > 4 * MOST_PIECES:
-                self.known.clear()
-            self.known[b] = ok
-        return ok
+        return b in self.ranks and (len(b) == 1 or self.split_of(b) is not None)
 
     def fits(self, a: bytes, b: bytes) -> bool:
         """Is a, b the encoding of a + b?"""
         ok = self.pairs.get((a, b))
         if ok is None:
-            ok = self.merge(a + b) == [a, b]
+            ok = self._fits(a, b)
             if len(self.pairs) > MOST_PIECES:
                 self.pairs.clear()
             self.pairs[a, b] = ok
         return ok
 
-    # streaming -------------------------------------------------------------------------------------------------------
+    def _fits(self, a: bytes, b: bytes) -> bool:
+        """The merges of a and b are undone, the later one first, and what then stands at the border must not have been merged before the one
+        undone last: the right side of a, the left side of b."""
+        ranks = self.ranks
+        # twice a rank, and one more where b's merge is meant: of equal merges the left one comes first
+        before = 1 << 62
+        while True:
+            r = ranks.get(a + b)
+            if r is not None and 2 * r < before and self.split_of(a + b) == (a, b):
+                return False
+            x, y = self.split_of(a), self.split_of(b)
+            if x is None and y is None:
+                return True
+            if y is None or x is not None and ranks[a] > ranks[b]:
+                before, a = 2 * ranks[a], x[1]
+            else:
+                before, b = 2 * ranks[b] + 1, y[0]
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of one piece that comes in chunks, in lists as they become stable."""
-        buf, last = bytearray(), [0]  # last[i]: the length of the last token of buf[:i]
-        first = b""  # the token that was sent before buf
-        every = max(self.longest, 64)
-        due = 2 * every
+        t = Transducer(self)
         for chunk in chunks:
-            for at in range(0, len(chunk), every):
-                buf += chunk[at : at + every]
-                self._advance(buf, last, first)
-                if len(buf) >= due:
-                    out, sent = self._stable(buf, last)
-                    if sent:
-                        yield [self.ranks[t] for t in out]
-                        first = out[-1]
-                        del buf[:sent]
-                        del last[:sent]
-                        last[0] = 0
-                    if len(buf) > self.lookahead + 4 * every:
-                        raise AssertionError("a token was not stable within the lookahead")
-                    due = len(buf) + every
-        out = self._back(buf, last, len(buf))
-        if out:
-            yield [self.ranks[t] for t in out]
-
-    def _advance(self, buf: bytearray, last: list[int], first: bytes) -> None:
-        suffixes = self.suffixes
-        for end in range(len(last), len(buf) + 1):
+            yield from t.feed(chunk)
+        yield t.end()
+
+
+class Transducer:
+    """One piece: bytes go in, ids come out once no continuation can change them. What it holds is bounded by the lookahead."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.buf, self.last = bytearray(), [0]  # last[i]: the length of the last token of buf[:i]
+        self.first = b""  # the token that was sent before buf
+        self.every = max(bpe.longest, 64)
+        self.due = 2 * self.every
+
+    def feed(self, chunk: bytes) -> Iterator[list[int]]:
+        for at in range(0, len(chunk), self.every):
+            self.buf += chunk[at : at + self.every]
+            self._advance()
+            if len(self.buf) < self.due:
+                continue
+            out, sent = self._stable()
+            if sent:
+                yield [self.bpe.ranks[t] for t in out]
+                self.first = out[-1]
+                del self.buf[:sent]
+                del self.last[:sent]
+                self.last[0] = 0
+            if len(self.buf) > self.bpe.lookahead + 4 * self.every:
+                raise AssertionError("a token was not stable within the lookahead")
+            self.due = len(self.buf) + self.every
+
+    def end(self) -> list[int]:
+        """The ids of what is left; the transducer is then as new."""
+        self._advance()
+        out = [self.bpe.ranks[t] for t in self._back(len(self.buf))]
+        self.buf, self.last, self.first, self.due = bytearray(), [0], b"", 2 * self.every
+        return out
+
+    def _advance(self) -> None:
+        bpe, last, first = self.bpe, self.last, self.first
+        suffixes, longest, is_token, fits, data = bpe.suffixes, bpe.longest, bpe.is_token, bpe.fits, bytes(self.buf)
+        for end in range(len(last), len(data) + 1):
             found = 0
-            for n in range(1, min(end, self.longest) + 1):
-                token = bytes(buf[end - n : end])
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                token = data[start:end]
                 if token not in suffixes:
                     break
-                if not self.is_token(token):
-                    continue
-                start = end - n
-                if start and not last[start]:
+                if start and not last[start] or not is_token(token):
                     continue
-                before = bytes(buf[start - last[start] : start]) if start else first
-                if not before or self.fits(before, token):
-                    found = n
+                before = data[start - last[start] : start] if start else first
+                if not before or fits(before, token):
+                    found = end - start
                     break
             last.append(found)
 
-    def _back(self, buf: bytearray, last: list[int], end: int) -> list[bytes]:
+    def _back(self, end: int) -> list[bytes]:
         out = []
         while end > 0:
-            out.append(bytes(buf[end - last[end] : end]))
-            end -= last[end]
+            out.append(bytes(self.buf[end - self.last[end] : end]))
+            end -= self.last[end]
         return out[::-1]
 
-    def _stable(self, buf: bytearray, last: list[int]) -> tuple[list[bytes], int]:
+    def _stable(self) -> tuple[list[bytes], int]:
         """Tokens that no continuation changes, and where they end: where the pointers of all live positions meet."""
-        live = {i for i in range(max(0, len(buf) - self.longest), len(buf) + 1) if i == 0 or last[i]}
+        n = len(self.buf)
+        live = {i for i in range(max(0, n - self.bpe.longest), n + 1) if i == 0 or self.last[i]}
         while len(live) > 1:
             far = max(live)
             live.discard(far)
-            live.add(far - last[far])
+            live.add(far - self.last[far])
         meet = live.pop()
-        return self._back(buf, last, meet), meet
+        return self._back(meet), meet
 
 
 class Encoder(dict):
-    """Text to ids. As a table: short pieces to their ids, filled on demand."""
+    """Text to ids. As a table: pieces to the ids that the transducer gave for them, short ones remembered."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
+        self.transducer = Transducer(bpe)
         self.findall = regex.compile(PATTERN).findall
+        self.runs = {k: regex.compile(p) for k, p in RUNS.items()}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(piece) > SHORT:
-            data = piece.encode()
-            return tuple(itertools.chain.from_iterable(self.bpe.stream(data[i : i + CHUNK] for i in range(0, len(data), CHUNK))))
-        ranks = self.bpe.ranks
-        ids = tuple([ranks[t] for t in self.bpe.merge(piece.encode())])
-        if len(self) > MOST_PIECES:
-            self.clear()
-        self[piece] = ids
+        t = self.transducer
+        ids = tuple(itertools.chain.from_iterable((*t.feed(piece.encode()), t.end())))
+        if len(piece) <= REMEMBERED:
+            if len(self) > MOST_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
-    def pieces(self, chunks: Iterable[str]) -> Iterator[list[str]]:
-        """Final pieces of a text that comes in chunks. A piece that outgrows the chunks is held until it ends."""
-        buf = ""
+    def kind_of(self, c: str) -> str:
+        return next(k for k, run in self.runs.items() if run.match(c))
+
+    def pieces(self, chunks: Iterable[str]) -> Iterator[tuple[list[str], str, bool]]:
+        """A text that comes in chunks, as (whole pieces, a part of the piece behind them, whether that part ends its piece). Of a piece
+        that outgrows a chunk the parts come one after the other; what is held is no longer than two chunks."""
+        buf, run = "", ""
         for chunk in chunks:
             buf += chunk
+            if run:
+                end = self.runs[run].match(buf).end() if self.runs[run].match(buf) else 0
+                if end == len(buf):
+                    # the last white space may begin the next piece
+                    keep = 1 if run == "S" else 0
+                    yield [], buf[: end - keep], False
+                    buf = buf[end - keep :]
+                    continue
+                end -= run == "S"
+                yield [], buf[:end], True
+                buf, run = buf[end:], ""
             found = self.findall(buf)
             end = len(buf)
             while found and end > len(buf) - PIECE_LOOKAHEAD:
                 end -= len(found.pop())
-            if found:
-                yield found
-                buf = buf[end:]
-        if buf:
-            yield self.findall(buf)
+            buf = buf[end:]
+            if len(buf) > CHUNK // 2:
+                # one long run, and behind it what is shorter than the lookahead
+                rest = self.findall(buf)
+                run = self.kind_of(rest[0][-1])
+                if len(rest) == 1:
+                    keep = 1 if run == "S" else 0
+                    yield found, buf[: len(buf) - keep], False
+                    buf = buf[len(buf) - keep :]
+                elif run != "S":
+                    yield found + rest[:1], "", False
+                    buf, run = buf[len(rest[0]) :], ""
+                else:
+                    yield found, "", False
+                    run = ""
+            elif found:
+                yield found, "", False
+        if run:
+            yield [], buf, True
+        elif buf:
+            yield self.findall(buf), "", False
+
+    def stream(self, chunks: Iterable[str]) -> Iterator[Iterable[int]]:
+        """Ids of a text that comes in chunks, in portions as they become stable, whatever the length of the text or of a piece of it."""
+        t = Transducer(self.bpe)
+        for found, part, ends in self.pieces(chunks):
+            yield itertools.chain.from_iterable(map(self.__getitem__, found))
+            if part:
+                yield from t.feed(part.encode())
+            if ends:
+                yield t.end()
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, special tokens' strings being ordinary text; of null and empty texts an empty list."""
         if not text:
             return []
-        if len(text) <= CHUNK:
-            return list(itertools.chain.from_iterable(map(self.__getitem__, self.findall(text))))
-        out: list[int] = []
-        for found in self.pieces(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)):
-            out.extend(itertools.chain.from_iterable(map(self.__getitem__, found)))
-        return out
+        return list(itertools.chain.from_iterable(self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text by and by: the bytes of each token go through the state machine of UTF-8, which holds back unfinished characters."""

@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalog.llm import token_ids
+from stratalog.llm import bpe, token_ids
 from stratalog.llm.bpe import CHUNK, Bpe, Encoder
 
 from ..conftest import rows
@@ -43,13 +44,72 @@ def test_round_trip(text):
     assert "".join(e.decode(e.encode(text))) == text
 
 
-def test_pieces_do_not_depend_on_chunks(enc):
+def joined(parts):
+    """Pieces of what pieces() gives."""
+    out, open_part = [], ""
+    for found, part, ends in parts:
+        out += found
+        open_part += part
+        if ends:
+            out.append(open_part)
+            open_part = ""
+    assert not open_part
+    return out
+
+
+def test_pieces_do_not_depend_on_chunks(enc, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 16)
     rng = random.Random(2)
-    for text in ("they're  a\n\n b'll x   " * 30, "aaa " * 50 + " " * 40 + "'" + "s" * 9):
-        for _ in range(20):
-            cuts = sorted(rng.sample(range(len(text)), 12))
+    texts = ["they're  a\n\n b'll x   " * 30, "aaa " * 50 + " " * 40 + "'" + "s" * 9, "x" * 90 + "'re " + "1" * 50 + "!?'" * 30 + "s", "a" + " \n\t " * 20 + "b" + " " * 60, " " * 50 + "b" * 50 + "\n" * 50]
+    for text in texts:
+        for k in range(20):
+            cuts = sorted(rng.sample(range(len(text)), 12 if k % 2 else 40))
             chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-            assert [p for part in enc.pieces(chunks) for p in part] == enc.findall(text)
+            assert joined(enc.pieces(chunks)) == enc.findall(text)
+            assert [i for ids in enc.stream(chunks) for i in ids] == enc.encode(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1 \n\t'slre!-é", max_size=120), st.integers(1, 30))
+def test_any_chunks_give_the_same(enc, text, size):
+    was, bpe.CHUNK = bpe.CHUNK, 16
+    try:
+        assert joined(enc.pieces(text[i : i + size] for i in range(0, len(text), size))) == enc.findall(text)
+    finally:
+        bpe.CHUNK = was
+
+
+def test_pairs_that_fit(enc):
+    """Undoing merges at the border says the same as merging all."""
+    b, rng = enc.bpe, random.Random(3)
+    tokens = [t for t in b.ranks if b.is_token(t)]
+    assert all(len(b.merge(t)) == 1 for t in rng.sample(tokens, 2000))
+    pairs = [tuple(rng.sample(tokens, 2)) for _ in range(6000)] + [(t[:k], t[k:]) for t in rng.sample(tokens, 3000) for k in range(1, len(t))]
+    pairs = [(x, y) for x, y in pairs if b.is_token(x) and b.is_token(y)]
+    assert [p for p in pairs if b._fits(*p) != (b.merge(p[0] + p[1]) == list(p))] == []
+
+
+def test_a_long_piece_in_linear_time_and_bounded_memory(enc):
+    """One piece of 400,000 and one of 800,000 letters, made as it is read."""
+    held, took = 0, []
+
+    def chunks(n):
+        for i in range(n):
+            yield "".join("abcdefghij"[(i * 7 + k * k) % 10] for k in range(1000)) * 50
+
+    for n in (8, 16):
+        began, count = time.process_time(), 0
+        t = bpe.Transducer(enc.bpe)
+        for found, part, ends in enc.pieces(chunks(n)):
+            assert not found and len(part) <= 2 * CHUNK
+            for ids in t.feed(part.encode()):
+                count += len(ids)
+                held = max(held, len(t.buf))
+        count += len(t.end())
+        took.append(time.process_time() - began)
+        assert count > 50_000 * n / 10
+    assert held < enc.bpe.lookahead + 6 * t.every
+    assert took[1] < 3 * took[0]
 
 
 def test_stream_is_the_encoding_in_bounded_memory(enc, other):
