@@ -1,13 +1,16 @@
 """p7: passages of held-out items in the corpus.
 
 Q-gram lemma filtering. Texts are read as streams of lower-case letters and digits, so that letter case, punctuation, markup,
-spacing and line prefixes do not count. For each document all q-grams that also stand in an item give points (place in the
+spacing and line breaks do not count. Where a text has tags, entities, links or what looks like prefixes of its lines, it is read a second time without
+them (unmarked()), as their letters would stand between those of a passage; both readings count. For each document all q-grams that also stand in an item give points (place in the
 document, place in the item); points of one passage lie on nearly the same diagonal. Points are counted per document, item and
 diagonal band; bands overlap by half, so a region whose diagonals differ by up to half a band's width lies whole in one.
 
 A window of ``WORDS`` item words of which one in ``ONE_IN`` may be altered keeps at least
-n - q + 1 - sum(length + q - 1 of each altered word) of its n characters' q-grams. The least value over all windows of an item,
-with its longest words altered, is the number of points that a band must hold (the edit budget); no passage is lost by it.
+n - q + 1 - sum(length + q - 1 of each altered word) of its n characters' q-grams, and q - 1 fewer for each run of other characters that stands
+between its words. The least value over all windows of an item, with its longest words altered and ``BETWEEN`` such runs, is the number of points
+that a band must hold (the edit budget): no passage with so many alterations is lost by it. More runs than that are found as far as unmarked()
+takes them out; the README gives the recall by kind of insertion.
 Regions that reach it are verified by an alignment of words within the band, and a pair is kept if some window of the
 item's words is long enough with few enough words unmatched.
 
@@ -18,6 +21,7 @@ are neither shuffled nor compared with each other.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from bisect import bisect_left
@@ -35,6 +39,8 @@ from ..session import table
 
 #: Length of a q-gram (as eight bytes it is one number), words of a passage, and one in so many may be altered.
 Q, WORDS, ONE_IN = 8, 20, 10
+#: Runs of inserted characters that the budget allows for.
+BETWEEN = 3
 #: Width of a band of diagonals in characters; bands overlap by half.
 BAND = 128
 #: Characters of items that are broadcast at once, and of documents and points that are worked on at once.
@@ -56,6 +62,51 @@ def plain(text: str) -> str:
     return t
 
 
+_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,400}>", re.S)
+#: Elements that part words; others may stand within one.
+_BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|pre|blockquote|hr)\b", re.I)
+_ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+_LINK = re.compile(r"\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)")
+#: Shapes of what stands before a line's text: marks of quotes, lists and comments, numbers, times, [tags], names with a colon, > or |.
+_PREFIX = re.compile(r"[ \t]*(?:(?:[^\w\s]+|\d[\w:.,/+-]*[^\w\s]*|\(?\w{1,3}[).]|\[[^\]\n]{1,40}\]:?|<[^<>\n]{1,40}>|[\w.@/-]{1,24}[:>|]+)[ \t]+)+")
+#: A word begins lines as a prefix (INFO, WARN) if it is among the PREFIXES most frequent beginnings, and these begin at least PREFIX_SHARE of the lines.
+PREFIXES, PREFIX_SHARE, PREFIX_LINES = 4, 0.8, 4
+_WORD = re.compile(r"\S+[ \t]+")
+
+
+def unmarked(text: str) -> str:
+    """The text without tags, entities, the targets of links, and what looks like a prefix of its lines. It may take words of the text for prefixes, so it is a second
+    reading, never the only one."""
+    if "<" in text:
+        text = _TAG.sub(lambda m: " " if _BLOCK.match(m[0]) else "", text)
+    if "&" in text:
+        text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
+    if "](" in text:
+        text = _LINK.sub("]", text)
+    lines = text.splitlines()
+    if len(lines) < 2:
+        return text
+    # a prefix of several parts may hold words that repeat between others of its shape
+    while True:
+        lines = [x[m.end() :] if (m := _PREFIX.match(x)) else x for x in lines]
+        if not _cut_repeated(lines):
+            return "\n".join(lines)
+
+
+def _cut_repeated(lines: list[str]) -> bool:
+    """Take the words off with which most lines begin; False if there are none."""
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    first = Counter(m[0].strip() for i in full if (m := _WORD.match(lines[i])))
+    often = {w for w, n in first.most_common(PREFIXES) if n > 1}
+    if len(full) < PREFIX_LINES or sum(first[w] for w in often) < PREFIX_SHARE * len(full):
+        return False
+    for i in full:
+        m = _WORD.match(lines[i])
+        if m and m[0].strip() in often:
+            lines[i] = lines[i][m.end() :]
+    return True
+
+
 def stream_of(text: str) -> bytes:
     return _NOT_ALNUM.sub("", plain(text)).encode("utf-8", "ignore")
 
@@ -103,7 +154,7 @@ def budget(lengths: list[int]) -> int:
     altered = WORDS // ONE_IN
     for i in range(len(lengths) - WORDS + 1):
         window = sorted(lengths[i : i + WORDS])
-        n = sum(window) - Q + 1 - sum(w + Q - 1 for w in window[-altered:])
+        n = sum(window) - Q + 1 - sum(w + Q - 1 for w in window[-altered:]) - BETWEEN * (Q - 1)
         least = max(1, n) if not least else min(least, max(1, n))
     return least
 
@@ -240,11 +291,19 @@ def leaked(texts: list[str | None], index: Index) -> list[tuple[int, int, int]]:
     """(number of the text, item_id, words of the longest passage), each pair once."""
     out: dict[tuple[int, int], int] = {}
     words: dict[int, tuple[list[bytes], np.ndarray]] = {}
-    for doc, item, diagonal in candidates([stream_of(t) if t else b"" for t in texts], index):
-        if doc not in words:
-            w = words_of(texts[doc])
-            words[doc] = w, np.concatenate([[0], np.cumsum([len(x) for x in w])[:-1]])
-        n = max(map(longest_passage, aligned(*words[doc], index.words[item], index.places[item], diagonal)), default=0)
+    streams = [stream_of(t) if t else b"" for t in texts]
+    # a second reading stands behind all first ones, with the number of its text
+    readings = [(d, t) for d, t in enumerate(texts)]
+    for d, t in enumerate(texts):
+        if t and (bare := unmarked(t)) != t and (s := stream_of(bare)) != streams[d]:
+            readings.append((d, bare))
+            streams.append(s)
+    for reading, item, diagonal in candidates(streams, index):
+        doc, text = readings[reading]
+        if reading not in words:
+            w = words_of(text)
+            words[reading] = w, np.concatenate([[0], np.cumsum([len(x) for x in w])[:-1]])
+        n = max(map(longest_passage, aligned(*words[reading], index.words[item], index.places[item], diagonal)), default=0)
         if n >= WORDS:
             out[doc, item] = max(n, out.get((doc, item), 0))
     return [(doc, index.ids[item], n) for (doc, item), n in out.items()]

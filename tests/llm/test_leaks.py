@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from stratalog.llm import leaks
 
 from ..conftest import rows
@@ -96,6 +98,67 @@ def test_longest_passage():
 
 
 def test_budget():
-    # 18 words of 5 and two of 9 letters, the two altered: 108 - 7 - 2 * 16
-    assert leaks.budget([5] * 18 + [9] * 2) == 108 - 7 - 2 * 16
+    # 18 words of 5 and two of 9 letters, the two altered, and three runs between them: 108 - 7 - 2 * 16 - 3 * 7
+    assert leaks.budget([5] * 18 + [9] * 2) == 108 - 7 - 2 * 16 - 3 * 7
     assert leaks.budget([5] * 19) == 0
+
+
+def lined(p, n, prefix):
+    return "\n".join(prefix(k) + " ".join(p[i : i + n]) for k, i in enumerate(range(0, len(p), n)))
+
+
+PREFIXES = {
+    "numbers": lambda k: f"{k + 120}: ",
+    "speakers": lambda k: ("user> ", "bot> ")[k % 2],
+    "names": lambda k: ("Ann: ", "Bob Smith: ", "x.y: ")[k % 3],
+    "levels": lambda k: ("INFO ", "WARN ", "INFO ")[k % 3],
+    "times": lambda k: f"2026-01-02T03:04:{k:02d}Z INFO [main] ",
+    "clock": lambda k: f"[03:04:{k:02d}] ",
+    "list": lambda k: f"{k + 1}. ",
+    "letters": lambda k: f"({'abcdefghijklmnopqrstuvwxyz'[k % 26]}) ",
+    "tasks": lambda k: "- [x] ",
+    "quotes": lambda k: "> > ",
+    "comments": lambda k: " * ",
+    "rows": lambda k: f"| {k} | ",
+    "diff": lambda k: "+ ",
+    "roman": lambda k: ("i) ", "ii) ", "iv) ")[k % 3],
+}
+MARKUP = {
+    "em": lambda k, w: f"<em>{w}</em>" if k % 3 == 0 else w,
+    "span": lambda k, w: f'<span class="a{k}">{w}</span>' if k % 2 else w,
+    "br": lambda k, w: w + ("<br>" if k % 4 == 3 else ""),
+    "paragraphs": lambda k, w: w + ("</p>\n<p>" if k % 4 == 3 else ""),
+    "links": lambda k, w: f"[{w}](http://a.b/c{k}?d=e)" if k % 3 == 1 else w,
+    "entities": lambda k, w: w + ("&nbsp;&mdash;" if k % 3 else ""),
+    "comments": lambda k, w: w + (f"<!-- note {k} -->" if k % 5 == 2 else ""),
+    "inserted words": lambda k, w: w + (" sic" if k % 10 == 5 else ""),
+}
+
+
+def recall(forms):
+    index = leaks.build_index(leaks.without_instructions(ITEMS))
+    docs, want = [], set()
+    for i in range(20):
+        p = body(i)[7:37]
+        for f in forms(p):
+            want.add((len(docs), i))
+            docs.append("intro\n" + f + "\noutro")
+    found = {(d, i) for d, i, _ in leaks.leaked(docs, index)}
+    return len(found & want) / len(want)
+
+
+@pytest.mark.parametrize("kind", PREFIXES)
+def test_recall_with_prefixes_of_lines(kind):
+    assert recall(lambda p: [lined(p, n, PREFIXES[kind]) for n in range(1, 8)]) == 1
+
+
+@pytest.mark.parametrize("kind", MARKUP)
+def test_recall_with_markup(kind):
+    assert recall(lambda p: [" ".join(MARKUP[kind](k, w) for k, w in enumerate(p))]) == 1
+
+
+def test_the_second_reading_takes_nothing_away():
+    """Words that look like prefixes stay in the first reading."""
+    p = body(4)[5:35]
+    p[::3] = [w + ":" for w in p[::3]]
+    assert recall(lambda p: ["\n".join(f"{a}: {b} {c}" for a, b, c in zip(p[::3], p[1::3], p[2::3]))]) == 1
