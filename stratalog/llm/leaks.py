@@ -62,7 +62,7 @@ def plain(text: str) -> str:
     return t
 
 
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,400}>", re.S)
+_TAG = re.compile(r"<!--.{0,4000}?-->|</?[A-Za-z][^<>]{0,400}>", re.S)
 #: Elements that part words; others may stand within one.
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|pre|blockquote|hr)\b", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -70,7 +70,7 @@ _LINK = re.compile(r"\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)")
 #: Shapes of what stands before a line's text: marks of quotes, lists and comments, numbers, times, [tags], names with a colon, > or |.
 _PREFIX = re.compile(r"[ \t]*(?:(?:[^\w\s]+|\d[\w:.,/+-]*[^\w\s]*|\(?\w{1,3}[).]|\[[^\]\n]{1,40}\]:?|<[^<>\n]{1,40}>|[\w.@/-]{1,24}[:>|]+)[ \t]+)+")
 #: A word begins lines as a prefix (INFO, WARN) if it is among the PREFIXES most frequent beginnings, and these begin at least PREFIX_SHARE of the lines.
-PREFIXES, PREFIX_SHARE, PREFIX_LINES = 4, 0.8, 4
+PREFIXES, PREFIX_SHARE, PREFIX_LINES, PREFIX_PARTS = 4, 0.8, 4, 4
 _WORD = re.compile(r"\S+[ \t]+")
 
 
@@ -87,10 +87,11 @@ def unmarked(text: str) -> str:
     if len(lines) < 2:
         return text
     # a prefix of several parts may hold words that repeat between others of its shape
-    while True:
+    for _ in range(PREFIX_PARTS):
         lines = [x[m.end() :] if (m := _PREFIX.match(x)) else x for x in lines]
         if not _cut_repeated(lines):
-            return "\n".join(lines)
+            break
+    return "\n".join(lines)
 
 
 def _cut_repeated(lines: list[str]) -> bool:
