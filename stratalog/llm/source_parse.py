@@ -48,7 +48,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def parse_errors(files: DataFrame) -> DataFrame:
     """One row per row of ``files`` (file_id, repo, path, language_id, content): its language, the number of syntax errors,
-    line and cause of the first, the errors, and whether it is nested too deeply for all of it to be judged.
+    line and cause of the first, the errors, and whether one of them is that it is nested too deeply for all of it to be judged.
 
     ``language`` is language_id in any letter case, or of a null one what the path's extension says; null, and no errors,
     where that is none of the five. Null and blank contents have no errors. Of a file nested too deeply there are

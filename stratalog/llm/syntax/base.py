@@ -32,8 +32,8 @@ class TooDeep(Exception):
 
 @dataclass
 class Errors:
-    """All errors of a text as (line, cause), in order; too_deep: nested deeper than DEPTH, which is no error. JSON is judged at any depth;
-    of other texts the brackets are, and what stands before the place that is too deep."""
+    """All errors of a text as (line, cause), in order. JSON is judged at any depth; too_deep: other text nested deeper than DEPTH, which is an
+    error, as the languages' own parsers refuse it as well; besides it there are the errors before that place and those of brackets."""
 
     found: list[tuple[int, str]] = field(default_factory=list)
     too_deep: bool = False
@@ -176,6 +176,17 @@ def check_source(language: str, text: str | None) -> Errors:
     try:
         return Errors(parse(text))
     except TooDeep as e:
-        return Errors(e.found, too_deep=True)
+        found = e.found
     except RecursionError:
-        return Errors(too_deep=True)
+        found = []
+    return Errors(sorted([*found, (deepest_line(text), "nested too deeply")]), too_deep=True)
+
+
+def deepest_line(text: str) -> int:
+    """The line of the bracket that lies deepest, or 1."""
+    depth = most = at = 0
+    for m in re.finditer(r"[()\[\]{}]", text):
+        depth += 1 if m[0] in Parser.open else -1
+        if depth > most:
+            most, at = depth, m.start()
+    return text.count("\n", 0, at) + 1
