@@ -1,3 +1,5 @@
+import random
+
 from stratalog.llm import file_origin as fo
 
 from ..conftest import rows
@@ -24,6 +26,48 @@ def test_layouts():
     assert fo.content_reason("x" * 10) is None
 
 
+def test_no_text_is_too_short_or_too_well_wrapped():
+    assert fo.content_reason("var a = [" + ", ".join(map(str, range(100, 120))) + "];\n") == "data"
+    assert fo.content_reason("[1, 2, 3]\n") is None and fo.content_reason("x = 5\n") is None and fo.content_reason("") is None
+    assert fo.content_reason('KEY = "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo0NTY3ODkwMTIzNDU2Nzg5"\n') == "data"
+    bundle = "!function(e,t){var n={};function r(i){if(n[i])return n[i].exports;var o=n[i]={i:i,l:!1,exports:{}};return e[i].call(o.exports,o,o.exports,r),o.l=!0,o.exports}r.m=e,r.c=n}" * 8
+    for width in (80, 100, 150, 199):
+        assert fo.content_reason("\n".join(bundle[i : i + width] for i in range(0, len(bundle), width)) + "\n") == "minified", width
+    long_names = "".join(f"\tresultOfTheLongestComputation{i} = computeTheLongestResult(firstArgument{i}, secondArgument{i})\n" for i in range(30))
+    assert fo.content_reason("package p\n\nfunc f() {\n" + long_names + "}\n") is None
+
+
+def brute(leaves):
+    """Hashes of directories as nested sets of (name, child)."""
+    out = {}
+    for path, h in leaves.items():
+        parts = path.split("/")
+        for i in range(1, len(parts)):
+            out.setdefault("/".join(parts[:i]), {})["/".join(parts[i:])] = h
+    return {d: frozenset(x.items()) for d, x in out.items()}
+
+
+def test_tree_against_brute_force(spark):
+    rng = random.Random(5)
+    leaves = {"/".join(["r%d" % rng.randrange(3), *[rng.choice("abc") for _ in range(rng.randrange(0, 7))], f"f{rng.randrange(3)}"]): rng.randrange(4) for _ in range(120)}
+    leaves["alone"] = 1
+    df = spark.createDataFrame([(p, p.split("/")[0], h, h, 10) for p, h in leaves.items()], "path string, repo string, h1 long, h2 long, code long")
+    got = {r["node"]: r for r in fo.tree_of(df).where("is_dir").collect()}
+    want = brute(leaves)
+    assert set(got) == set(want)
+    assert all((got[a]["h1"], got[a]["h2"]) == (got[b]["h1"], got[b]["h2"]) if want[a] == want[b] else got[a]["h1"] != got[b]["h1"] for a in want for b in want)
+    assert all(got[d]["n_files"] == len(x) and got[d]["code"] == 10 * len(x) for d, x in want.items())
+    assert all(r["up"] == (d.rpartition("/")[0] or None) for d, r in got.items())
+
+
+def test_broken_files_of_any_length_are_no_evidence(spark):
+    page = "<html>\n<body>\n" + "please sign in to go on\n" * 200 + "</body>\n</html>\n"
+    r = [(f"r{k}/pkg/own{i}.go", "go", OWN % f"F{k}x{i}") for k in (1, 2) for i in range(3)] + [("r1/x/a.go", "go", page), ("r2/y/b.go", "go", page), ("r1/q.go", "go", CODE), ("r2/z.go", "go", CODE)]
+    assert rows(fo.vendored_by_hash(fo.features(files(spark, *r)))) == [("r1/q.go",), ("r2/z.go",)]
+    tiny = [(f"r{k}/pkg/own{i}.go", "go", OWN % f"F{k}x{i}") for k in (1, 2) for i in range(3)] + [("r1/a.go", "go", "package a\n\nvar X = 1\n"), ("r2/b.go", "go", "package a\n\nvar X = 1\n")]
+    assert rows(fo.vendored_by_hash(fo.features(files(spark, *tiny)), least_code=1)) == [("r1/a.go",), ("r2/b.go",)]
+
+
 def files(spark, *r):
     return spark.createDataFrame([(i, p, lang, c, "clash") for i, (p, lang, c) in enumerate(r)], "file_id long, path string, language_id string, content string, why string")
 
