@@ -116,5 +116,6 @@ def replay(changes: DataFrame, keys: list[str], closed_log: bool = False, place:
     if closed_log:
         first = log.agg(F.min(F.col(place).cast("long"))).first()[0]
         start, closed, lost = 1 if first is None else first, None, gaps(log, place)
-    upto = watermark(log, place, start, closed, lost).scalar()
+    # one number, found once, so that the scan of the changes is held against a literal
+    upto = F.lit(watermark(log, place, start, closed, lost).first()[0]).cast("long")
     return fold_changes(visible(changes, upto, place, tx, log), keys, place, op)

@@ -158,7 +158,7 @@ def p2_watermark(spark: SparkSession, d: str, hold: int = HOLD) -> DataFrame:
     """An extension, timed by places: the state at the watermark before the first gap with less than ``hold`` places behind it, without
     transactions of which any row lies behind it. A change that comes later than that is missing; see p2_contiguous."""
     log = log_places(spark, d)
-    upto = changefeed.held_watermark(log, hold).scalar()
+    upto = F.lit(changefeed.held_watermark(log, hold).first()[0]).cast("long")
     state = changefeed.fold_changes(changefeed.visible(subject_changes(spark, d), upto, log=log), ["subject_layer", "subject_id"])
     return state.withColumnRenamed("last_place", "last_seq")
 
@@ -167,7 +167,7 @@ def p2_transactions(spark: SparkSession, d: str, hold: int = HOLD) -> DataFrame:
     """Each transaction of the log: first and last place, rows, whether each place between them is known (complete), and whether it shows at the
     watermark of p2_watermark (visible)."""
     log = log_places(spark, d)
-    return changefeed.judged_transactions(log, changefeed.held_watermark(log, hold).scalar())
+    return changefeed.judged_transactions(log, F.lit(changefeed.held_watermark(log, hold).first()[0]).cast("long"))
 
 
 _PLACES_SQL = """places AS (SELECT *, coalesce(TRY_CAST(trim(CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.replay_of') END) AS BIGINT), seq) AS place FROM kernel_events),
