@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .order import number_rows, with_previous
 
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
@@ -115,7 +116,7 @@ def replay(changes: DataFrame, keys: list[str], closed_log: bool = False, place:
     lost = None
     if closed_log:
         first = log.agg(F.min(F.col(place).cast("long"))).first()[0]
-        start, closed, lost = 1 if first is None else first, None, gaps(log, place)
+        start, closed, lost = 1 if first is None else first, None, cut(gaps(log, place))
     # one number, found once, so that the scan of the changes is held against a literal
     upto = F.lit(watermark(log, place, start, closed, lost).first()[0]).cast("long")
     return fold_changes(visible(changes, upto, place, tx, log), keys, place, op)
