@@ -102,9 +102,9 @@ def test_what_is_too_deep_never_passes():
     """Whatever is wrong with it; JSON is judged at any depth."""
     assert check_source("json", "[" * 200_000 + "1 1" + "]" * 200_000).found
     assert len(check_source("json", "[" * 200_000).found) == 1
-    assert check_source("json", "[" * 30_000).found and check_source("javascript", "x=" + "(" * 9000 + "1" + ")" * 8999).found and check_source("python", "[" * 9000 + "]" * 8999).found
+    assert check_source("json", "[" * 30_000).found and check_source("javascript", "x=" + "(" * 4000 + "1" + ")" * 3999).found and check_source("python", "[" * 9000 + "]" * 8999).found
     for language, before, text in (("javascript", "let a = ;\n", "x = {};\n"), ("typescript", "let a = ;\n", "x = {};\n"), ("python", "a = )\n", "x = {}\n"), ("go", "package p\nvar a = )\n", "var x = {}\n")):
-        start, n = "package p\n" if language == "go" else "", 6000 if language == "go" else 4000
+        start, n = "package p\n" if language == "go" else "", 12_000 if language == "go" else 4000
         for inner, close in (("1", n), ("1 +", n), ("1", n - 1)):
             e = check_source(language, start + text.format("(" * n + inner + ")" * close))
             assert e.too_deep and "nested too deeply" in {what for _, what in e.found}, language
