@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut, parts
@@ -70,7 +71,12 @@ def salted_aggregate(
         stage = marked.withColumn("__salt", F.coalesce(salt_of(*rows.columns), F.lit(0))).groupBy(*keys, "__salt").agg(*first)
         return stage.groupBy(*keys).agg(*second)
     counted = [f"n_{c}" for c in distinct]
-    light = marked.where(F.col("__h").isNull()).repartition(*keys).groupBy(*keys).agg(*first, *[F.count_distinct(c).alias(n) for c, n in zip(distinct, counted)])
+    light = marked.where(F.col("__h").isNull()).repartition(*keys)
+    for j, c in enumerate(distinct):
+        # the first row of each value; all of a key's rows are in one task already, so this sorts and shuffles nothing
+        nth = F.row_number().over(W.partitionBy(*keys, c).orderBy(F.lit(0)))
+        light = light.withColumn(f"__f{j}", (F.col(c).isNotNull() & (nth == 1)).cast("long"))
+    light = light.groupBy(*keys).agg(*first, *[F.sum(f"__f{j}").alias(n) for j, n in enumerate(counted)])
     # a row of a heavy key becomes one for each column of which values are counted; the other results hang on the first of them
     kinds = [F.struct(F.lit(i).alias("__k"), salt_of(c).alias("__salt"), *[F.col(x).alias(f"__v{j}") if j == i else F.lit(None).cast(df.schema[x].dataType).alias(f"__v{j}") for j, x in enumerate(distinct)]) for i, c in enumerate(distinct)]
     values = [f"__v{j}" for j in range(len(distinct))]
